@@ -1,0 +1,49 @@
+"""Written tables in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; one of our own only where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/tallyframe-{uuid.uuid4().hex}/{name}"
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at.getParent())
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again.
+
+    It cuts the lineage, survives lost executors, and lets a plan that uses the
+    rows several times read only the columns it needs.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files of plans that are no longer in use."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
