@@ -99,9 +99,15 @@ class Model:
     slope: float
     offset: float
 
-    def score(self, slots: np.ndarray) -> float:
-        margin = float(self.weights[slots].sum()) + self.bias
-        return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30))))
+    def plain(self) -> tuple:
+        return self.weights, self.bias, self.slope, self.offset
+
+
+def score_of(model: tuple, slots: np.ndarray) -> float:
+    """Score of a text's slots under a model's ``plain()`` values."""
+    weights, bias, slope, offset = model
+    margin = float(weights[slots].sum()) + bias
+    return float(1 / (1 + np.exp(-np.clip(slope * margin + offset, -30, 30))))
 
 
 NO_EVIDENCE = Model(np.zeros(SLOTS), 0.0, 0.0, 0.0)
@@ -216,13 +222,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
 
     def run(batches):
         known: dict = {}
         for batch in batches:
             out = [
-                shared.value.score(features(batch.column(1)[i].as_buffer().to_pybytes(), known)) for i in range(batch.num_rows)
+                score_of(shared.value, features(batch.column(1)[i].as_buffer().to_pybytes(), known)) for i in range(batch.num_rows)
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
@@ -231,7 +237,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, with their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
     at = docs.columns.index("text")
 
     def run(batches):
@@ -239,7 +245,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
         for batch in batches:
             texts = batch.column(at).cast(pa.large_binary())
             good = [
-                shared.value.score(features(texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b"", known)) >= threshold
+                score_of(shared.value, features(texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b"", known)) >= threshold
                 for i in range(batch.num_rows)
             ]
             yield batch.filter(pa.array(good, pa.bool_()))
