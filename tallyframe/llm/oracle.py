@@ -17,5 +17,18 @@ FROM turns GROUP BY conv_id
 """
 
 
+WARC = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS size FROM pages
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY digest) AS last_id, count(*) OVER (PARTITION BY digest) AS copies FROM p
+)
+SELECT page_id, size AS payload_bytes, digest AS payload_digest,
+       CASE WHEN size >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN size >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
+FROM g
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op10_chat_formatting": CHAT}
+    return {"op1_warc": WARC, "op10_chat_formatting": CHAT}
