@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, quality, secrets, simhash, warc
+from . import chat, decontaminate, media, mixing, quality, secrets, simhash, warc
 from .storage import table
 
 
@@ -14,6 +14,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -76,6 +80,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_warc": op1_warc,
+        "op3_media_chunks": op3_media_chunks,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_secret_scans": op6_secret_scans,
         "op7_quality_classifier": op7_quality_classifier,
