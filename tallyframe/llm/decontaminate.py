@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import build, mix, passing
 from .storage import materialize
 from .tokens import pieces, token_hashes
 
@@ -33,20 +34,12 @@ MASKS = ("110100110101", "101110010011", "111001101001", "100110110101")
 SPAN = len(MASKS[0])
 #: Tokens kept on either side of a hit.
 CONTEXT = 64
-#: 2**26 bits, 8 MB, however large the benchmark is.
-FILTER_BITS = 26
 MIN_TOKENS = 13
 SIMILARITY = 0.8
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def window_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
     """A hash of the picked tokens of every full window."""
     n = len(tokens) - len(mask) + 1
@@ -59,12 +52,7 @@ def window_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
             if bit == "1":
                 out += tokens[k : k + n] * factor
             factor = factor * _ODD + np.uint64(2 * k)
-        return _mix(out)
-
-
-def _slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = np.uint64((1 << FILTER_BITS) - 1)
-    return hashes & low, (hashes >> np.uint64(64 - FILTER_BITS)) & low
+        return mix(out)
 
 
 def _masks_for(lengths: list[int]) -> list[str]:
@@ -98,41 +86,10 @@ def _item_hashes(batches, masks):
         )
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """The filter, built on the executors: 2**FILTER_BITS / 64 words at most reach the driver."""
-    words = 1 << (FILTER_BITS - 6)
-
-    def run(batches):
-        for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            slots = np.unique(np.concatenate(_slots(own)))
-            word, bits = slots >> np.uint64(6), np.uint64(1) << (slots & np.uint64(63))
-            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.empty(0, np.int64)
-            merged = np.bitwise_or.reduceat(bits, starts) if len(starts) else bits
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(word[starts].view(np.int64)), pa.array(merged.view(np.int64))], ["word", "bits"]
-            )
-
-    found = hashes.select("hash").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    out = np.zeros(words, dtype=np.uint64)
-    got = found.toArrow()
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
-def _regions(batches, bitmap, masks):
+def _regions(batches, filled, masks):
     """Rows of (doc_id, tokens, hits) around the windows that pass the filter."""
     import xxhash
 
-    filled = bitmap.value
-    one = np.uint64(1)
-
-    def passes(hashes):
-        a, b = _slots(hashes)
-        hit = np.flatnonzero(filled[a >> np.uint64(6)] >> (a & np.uint64(63)) & one)
-        b = b[hit]
-        return hit[(filled[b >> np.uint64(6)] >> (b & np.uint64(63)) & one).astype(bool)]
-
     kind = pa.list_(pa.struct([("mask", pa.int32()), ("hash", pa.int64()), ("at", pa.int32())]))
     for batch in batches:
         for piece in pieces(batch, 1):
@@ -140,7 +97,7 @@ def _regions(batches, bitmap, masks):
             found = []
             for m, mask in enumerate(masks):
                 hashes = window_hashes(tokens, mask)
-                at = passes(hashes)
+                at = passing(filled.value, hashes)
                 row = np.searchsorted(offsets, at, side="right") - 1
                 inside = at + len(mask) <= offsets[row + 1]
                 found.append(np.stack([at[inside], np.full(inside.sum(), m), row[inside], hashes[at[inside]].view(np.int64)]))
@@ -219,10 +176,10 @@ def overlaps(
     hashes = materialize(
         items.mapInArrow(lambda b: _item_hashes(b, masks), "mask int, hash bigint, item_id bigint, at int"), "hashes"
     )
-    bitmap = spark.sparkContext.broadcast(_bitmap(hashes))
+    filled = spark.sparkContext.broadcast(build(hashes.select("hash")))
     regions = materialize(
         docs.select(F.col(id_column).cast("bigint").alias("doc_id"), "text").mapInArrow(
-            lambda b: _regions(b, bitmap, masks),
+            lambda b: _regions(b, filled, masks),
             "region bigint, doc_id bigint, start bigint, tokens array<bigint>, hits array<struct<mask:int,hash:bigint,at:int>>",
         ),
         "regions",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, media, mixing, quality, secrets, simhash, warc
+from . import chat, decontaminate, media, mixing, pii, quality, secrets, simhash, warc
 from .storage import table
 
 
@@ -18,6 +18,14 @@ def op3_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans"
+    )
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -81,6 +89,7 @@ def queries() -> dict:
     return {
         "op1_warc": op1_warc,
         "op3_media_chunks": op3_media_chunks,
+        "op4_pii": op4_pii,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_secret_scans": op6_secret_scans,
         "op7_quality_classifier": op7_quality_classifier,
