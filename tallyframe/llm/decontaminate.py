@@ -201,3 +201,10 @@ def overlaps(
     return found.groupBy("doc_id", "item_id").agg(
         F.max("matched").alias("matched"), F.max("item_tokens").alias("item_tokens"), F.min("start").alias("start")
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows that overlap an item; an overlap depends on the text alone."""
+    keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("__key"), F.struct(*docs.columns).alias("__row"), "text")
+    found = overlaps(keyed, benchmark, id_column="__key").select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.select("__key", "__row").join(found, "__key", "left_anti").select("__row.*")

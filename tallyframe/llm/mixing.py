@@ -114,11 +114,17 @@ def deal(plans: list[SourcePlan], blocks: np.ndarray, shard_words: int, seed: in
 
 
 def mix(
-    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, shard_words: int = SHARD_WORDS, seed: int = SEED
+    docs: DataFrame,
+    weights: tuple[float, ...] = WEIGHTS,
+    cap: int = CAP,
+    shard_words: int = SHARD_WORDS,
+    seed: int = SEED,
+    carry: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken, draws.
 
-    ``draws`` lists (pass, words, shard) of each time the document is drawn.
+    ``draws`` lists (pass, words, shard) of each time the document is drawn. With
+    ``carry`` the input row comes along as ``row``.
     """
     spark = docs.sparkSession
     key = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit("")))
@@ -129,6 +135,7 @@ def mix(
             F.col("source").isNull().alias("unnamed"),
             F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint").alias("size"),
             key.alias("key"),
+            *([F.struct(*docs.columns).alias("row")] if carry else []),
         ).withColumn("block", F.shiftrightunsigned("key", 64 - BLOCK_BITS).cast("int")),
         "sizes",
     )
@@ -178,10 +185,17 @@ def mix(
     return (
         at_cut.unionByName(other)
         .withColumn("draws", draws)
-        .select("doc_id", "key", "size", "source_size", "target", taken.alias("taken"), "draws")
+        .select("doc_id", "key", "size", "source_size", "target", taken.alias("taken"), "draws", *(["row"] if carry else []))
     )
 
 
+def drawn(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with size, source_size, target, taken and draws."""
+    own = ("size", "source_size", "target", "taken", "draws")
+    mixed = mix(docs, carry=True, **options).where("taken > 0")
+    return mixed.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in own], *own)
+
+
 def shards(mixed: DataFrame, seed: int = SEED) -> DataFrame:
     """(shard, doc_id, pass, words): each shard's documents together, shuffled by a hash."""
     drawn = mixed.select("doc_id", "key", F.explode("draws").alias("d")).select(

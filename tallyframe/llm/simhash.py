@@ -204,5 +204,181 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_column:
     return marked.join(of, "fp").select("id", "fp", "component")
 
 
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of similar texts, the same one in every run."""
+    key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit("")))
+    keyed = docs.select(key.alias("__key"), F.struct(*docs.columns).alias("__row"), "text")
+    groups = similar_groups(keyed, words, similarity, id_column="__key")
+    kept = groups.where("id = component").select(F.col("id").alias("__key")).distinct()
+    # Repeated rows have the same key, and meet after the join without another shuffle.
+    return keyed.select("__key", "__row").join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select("__row.*")
+
+
 def hexadecimal(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+# Groups by similarity: a long SimHash sketch instead of one fingerprint.
+
+#: Words of a sketch; eight make 512 bits.
+SKETCH_WORDS = 8
+PIECE_BITS = 14
+PIECES = SKETCH_WORDS * 64 // PIECE_BITS
+#: Members of a node that one task compares; larger nodes are compared block by block.
+NODE = 2048
+_MIXERS = (np.arange(1, SKETCH_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def sketch_radius(similarity: float) -> int:
+    """Differing bits that sets of this Jaccard similarity have, and one standard deviation.
+
+    Two sets of equal size at Jaccard similarity s have the cosine 2s / (1 + s); a
+    bit differs with the probability of their angle over pi.
+    """
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = 64 * SKETCH_WORDS
+    return int(bits * p + np.sqrt(bits * p * (1 - p)))
+
+
+def sketch(hashes: np.ndarray, mixers: np.ndarray) -> np.ndarray:
+    """Bits (0 or 1) that are set in more than half of the hashes, under every mixer."""
+    counts = np.zeros(64 * len(mixers), dtype=np.int64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(hashes), 1024):
+            x = hashes[at : at + 1024, None] * mixers[None, :]
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(32)
+            bits = np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little")
+            counts += bits.sum(axis=0, dtype=np.int64)
+    return (counts * 2 > len(hashes)).astype(np.uint8)
+
+
+def sketches(docs: DataFrame, words: int, id_column: str = "doc_id") -> DataFrame:
+    """(id, node, sketch, pieces): node names the sequence of words; equal sequences share one."""
+    mixers, powers = _MIXERS, 1 << np.arange(PIECE_BITS)
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            out = {"id": batch.column(0).to_pylist(), "node": [], "sketch": [], "pieces": []}
+            for i in range(batch.num_rows):
+                text = batch.column(1)[i].as_buffer().to_pybytes()
+                bits = sketch(shingle_hashes(text, words), mixers)
+                out["node"].append(xxhash.xxh3_64_intdigest(b" ".join(text.lower().split())))
+                out["sketch"].append(np.packbits(bits, bitorder="little").tobytes())
+                pieces = bits[: PIECES * PIECE_BITS].reshape(PIECES, PIECE_BITS).astype(np.int64) @ powers
+                out["pieces"].append(pieces + (np.arange(PIECES) << PIECE_BITS))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(np.array(out["node"], dtype=np.uint64).view(np.int64)),
+                    pa.array(out["sketch"], pa.binary()),
+                    pa.array(out["pieces"], pa.list_(pa.int32())),
+                ],
+                list(out),
+            )
+
+    narrow = docs.select(
+        F.col(id_column).cast("bigint").alias("id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")
+    )
+    return narrow.mapInArrow(run, "id bigint, node bigint, sketch binary, pieces array<int>")
+
+
+def similar_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows of words that differ in ``radius`` bits at most.
+
+    Differences are accumulated word by word; a pair is dropped as soon as they
+    pass the radius, or can't be expected to stay below it after the first word.
+    """
+    left, right = [], []
+    first = 2 * radius // a.shape[1] + 6
+    for at in range(0, len(a), 512):
+        part = a[at : at + 512]
+        apart = np.bitwise_count(part[:, None, 0] ^ b[None, :, 0])
+        i, j = np.nonzero(apart <= first)
+        total = apart[i, j].astype(np.int64)
+        for w in range(1, a.shape[1]):
+            total = total + np.bitwise_count(part[i, w] ^ b[j, w])
+            keep = total <= radius
+            i, j, total = i[keep], j[keep], total[keep]
+        left.append(i + at)
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _block_links(batches, radius: int):
+    """Rows sorted by (piece, p, q): a spanning set of the links between blocks p and q of a node."""
+
+    def linked(node, block, words):
+        one = block == block.min()
+        a, b = np.flatnonzero(one), np.flatnonzero(~one)
+        b = b if len(b) else a
+        i, j = similar_pairs(words[a], words[b], radius)
+        i, j = a[i], b[j]
+        apart = i != j
+        label = spanning(len(node), i[apart], j[apart])
+        hung = np.flatnonzero(label != np.arange(len(node)))
+        return node[hung], node[label[hung]]
+
+    held = None
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)], axis=1)
+        block = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+        node = batch.column(4).to_numpy(zero_copy_only=False)
+        words = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype="<u8").reshape(len(node), -1)
+        if held is not None:
+            key, block, node, words = (np.concatenate(x) for x in zip(held, (key, block, node, words), strict=True))
+        cut = np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1
+        last = cut[-1] if len(cut) else 0
+        found = [linked(node[x], block[x], words[x]) for x in np.split(np.arange(last), cut[:-1]) if len(x) > 1] if last else []
+        held = tuple(x[last:] for x in (key, block, node, words))
+        yield _edges(found)
+    if held is not None and len(held[0]) > 1:
+        yield _edges([linked(*held[2:3], held[1], held[3])])
+
+
+def _edges(found) -> pa.RecordBatch:
+    put = lambda k: pa.array(np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64))
+    return pa.RecordBatch.from_arrays([put(0), put(1)], ["u", "v"])
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id") -> DataFrame:
+    """(id, component): groups of texts whose shingle sets have about ``similarity`` or more.
+
+    Every piece of a sketch is an upper node, the masked pattern that its members
+    share. Members of a node are compared over the whole sketch. Two texts at
+    Jaccard similarity 0.8 meet in some node with probability 0.98, at 0.9 with 1.00.
+    """
+    radius = sketch_radius(similarity)
+    marked = materialize(sketches(docs, words, id_column), "sketches")
+    named = marked.groupBy("node").agg(F.min("id").alias("least"))
+    named = materialize(named, "named")
+    distinct = materialize(marked.select("node", "sketch", "pieces").dropDuplicates(["node"]), "distinct")
+    rows = distinct.select("node", "sketch", F.explode("pieces").alias("piece"))
+    large = (
+        rows.groupBy("piece")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") > NODE)
+        .select("piece", F.ceil(F.col("n") / NODE).cast("int").alias("blocks"))
+    )
+    large = materialize(large, "large")
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = (
+        rows.join(large, "piece", "left")
+        .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("piece", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "sketch")
+    )
+    links = (
+        dealt.repartition("piece", "p", "q")
+        .sortWithinPartitions("piece", "p", "q")
+        .mapInArrow(lambda b: _block_links(b, radius), "u bigint, v bigint")
+    )
+    linked = components(links).select(F.col("node"), "root")
+    linked = materialize(linked.join(named, "node"), "linked")
+    least = linked.groupBy("root").agg(F.min("least").alias("component"))
+    of = named.join(linked.join(least, "root").select("node", "component"), "node", "left").select(
+        "node", F.coalesce("component", "least").alias("component")
+    )
+    return marked.select("id", "node").join(of, "node").select("id", "component")

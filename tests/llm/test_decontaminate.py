@@ -66,3 +66,11 @@ def test_empty_tables(spark, side):
 def test_repeated_rows_give_one(spark):
     d = docs(spark, [" ".join(ITEMS[2])])
     assert [(r["doc_id"], r["item_id"], r["matched"]) for r in dc.overlaps(d.union(d), bench(spark)).collect()] == [(0, 2, 40)]
+
+
+def test_keep_clean_drops_overlaps_only(spark):
+    texts = planted()
+    d = docs(spark, texts)
+    kept = dc.keep_clean(d, bench(spark))
+    assert kept.columns == d.columns
+    assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {x for x, _ in brute(texts[:-1])} - {len(texts) - 1}

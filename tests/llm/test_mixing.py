@@ -75,3 +75,10 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     d = docs(spark, ["a b c"] * 2).withColumn("doc_id", F.lit(None).cast("long"))
     assert [(r["size"], r["taken"]) for r in mixing.mix(d.union(d)).collect()] == [(3, 3)] * 4
     assert mixing.mix(empty(spark)).count() == 0
+
+
+def test_drawn_keeps_columns(spark):
+    d = corpus(spark)
+    got = mixing.drawn(d.withColumn("size", F.lit("clash")), shard_words=3000)
+    assert got.columns == [*d.columns, "size", "source_size", "target", "taken", "draws"]
+    assert got.count() == mixing.mix(d).where("taken > 0").count()

@@ -93,3 +93,50 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     got = sorted(((r["id"], r["component"]) for r in simhash.near_duplicates(frame.union(frame)).collect()), key=str)
     assert got == sorted([(None, 1), (None, 1), (1, 1), (1, 1), (2, 2), (2, 2)], key=str)
     assert simhash.near_duplicates(empty(spark)).count() == 0
+
+
+def word_sets(text, k=5):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def similar_corpus(seed=9):
+    rng = random.Random(seed)
+    out = [None, "", "a", "A"]
+    for _ in range(60):
+        w = [f"v{rng.randrange(5000)}" for _ in range(rng.choice([60, 200, 600]))]
+        out.append(" ".join(w))
+        for rate in (0.005, 0.01, 0.02):
+            out.append(" ".join("new" if rng.random() < rate else x for x in w))
+    return out
+
+
+@pytest.mark.parametrize("node", [2048, 8])
+def test_similar_texts_meet(spark, monkeypatch, node):
+    monkeypatch.setattr(simhash, "NODE", node)
+    texts_ = similar_corpus()
+    got = {r["id"]: r["component"] for r in simhash.similar_groups(docs(spark, texts_)).collect()}
+    assert len(got) == len(texts_)
+    sets = [word_sets(t) for t in texts_]
+    found = wanted = 0
+    for i in range(len(texts_)):
+        for j in range(i):
+            both = len(sets[i] | sets[j])
+            s = len(sets[i] & sets[j]) / both if both else 1.0
+            if s >= 0.8:
+                wanted += 1
+                found += got[i] == got[j]
+            elif s < 0.3 and (i < 4 or j < 4 or (i - 4) // 4 != (j - 4) // 4):
+                assert got[i] != got[j]
+    assert wanted > 100 and found >= 0.95 * wanted
+    assert simhash.similar_groups(empty(spark)).count() == 0
+
+
+def test_keep_one_of_each_group(spark):
+    texts_ = similar_corpus()[:40]
+    d = docs(spark, texts_ * 2)
+    kept = simhash.keep_one(d.union(d))
+    assert kept.columns == d.columns
+    groups = {r["id"]: r["component"] for r in simhash.similar_groups(d).collect()}
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert len(ids) == len(set(ids)) and sorted(groups[i] for i in ids) == sorted(set(groups.values()))
