@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, media, mixing, pii, quality, secrets, simhash, warc
+from . import chat, decontaminate, language, media, mixing, pii, quality, secrets, simhash, warc
 from .storage import table
 
 
@@ -14,6 +14,17 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, with every kind of evidence, and all documents, with text and source."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs)
+    pages = language.of_pages(table(spark, sf_dir, "pages"), model).withColumn("doc_id", F.lit(None).cast("bigint"))
+    texts = language.of_documents(docs, model)
+    return pages.unionByName(texts, allowMissingColumns=True).select(
+        "page_id", "doc_id", "lang", F.round("confidence", 6).alias("confidence"), "text_lang", "declared"
+    )
+
+
 def op3_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(table(spark, sf_dir, "documents"))
 
@@ -88,6 +99,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_warc": op1_warc,
+        "op2_language_id": op2_language_id,
         "op3_media_chunks": op3_media_chunks,
         "op4_pii": op4_pii,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
