@@ -148,16 +148,19 @@ def identify(rows: DataFrame, model: Model, html: bool, carried: list[str]) -> D
     allowed) and text.
     """
     size = len(model.languages)
+    if not size:
+        unknown = F.lit(None).cast("string")
+        return rows.select(*carried, unknown.alias("lang"), F.lit(None).cast("double").alias("confidence"), unknown.alias("text_lang"), "declared")
     logs = rows.sparkSession.sparkContext.broadcast(model.logs)
     evidence = ["host", "domain", "suffix", "declared"]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in [*carried, *evidence]), "text_logs array<double>", "vote int"])
     scored = materialize(rows.select(*carried, *evidence, "text").mapInArrow(lambda b: _likelihoods(b, logs, html), schema), "scored")
-    none = F.array(*[F.lit(0.0)] * size) if size else F.array().cast("array<double>")
+    none = F.array(*[F.lit(0.0)] * size)
     votes = lambda by: scored.where(f"{by} is not null").groupBy(by).agg(_votes(size).alias(f"{by}_votes"))
-    overall = [float(x) for x in scored.agg(_votes(size).alias("v")).first()["v"]] if size else []
+    overall = [float(x) for x in scored.agg(_votes(size).alias("v")).first()["v"]]
     whole = sum(overall)
-    base = F.array(*[F.lit((x + 1.0) / (whole + size)) for x in overall]) if size else none
+    base = F.array(*[F.lit((x + 1.0) / (whole + size)) for x in overall])
     joined = scored
     for by in ("domain", "host", "suffix", "declared"):
         # Hot hosts are a skewed join of narrow rows, which adaptive execution splits.
@@ -168,7 +171,7 @@ def identify(rows: DataFrame, model: Model, html: bool, carried: list[str]) -> D
         counts, to, lambda c, p: (c + F.lit(PSEUDO) * p) / (_total(counts) + F.lit(PSEUDO))
     )
     # P(evidence | language) = share of the language's rows that show it, against its share of all rows.
-    spoken = F.array(*[F.lit(x + float(size)) for x in overall]) if size else none
+    spoken = F.array(*[F.lit(x + float(size)) for x in overall])
     shown = lambda by: F.when(
         F.col(by).isNull(), none
     ).otherwise(F.zip_with(F.coalesce(f"{by}_votes", none), spoken, lambda c, n: F.log((c + 0.5) / n)))
@@ -178,7 +181,7 @@ def identify(rows: DataFrame, model: Model, html: bool, carried: list[str]) -> D
     fused = fused.withColumn("prior", F.transform(prior, lambda p: F.log(p)))
     fused = fused.withColumn("total", add(add(F.col("text_logs"), F.col("prior")), add(shown("declared"), shown("suffix"))))
     fused = fused.withColumn("best", F.array_max("total"))
-    names = F.array(*[F.lit(x) for x in model.languages]) if size else F.array().cast("array<string>")
+    names = F.array(*[F.lit(x) for x in model.languages])
     at = F.array_position("total", F.col("best")).cast("int") - 1
     return fused.select(
         *carried,
