@@ -1,15 +1,36 @@
-"""All registered queries and their SQL, gathered from the plan modules."""
+"""Registered queries, the operators each covers, and their DuckDB SQL."""
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Callable
 
-def _modules():
-    return []
+#: name -> (query, ids of the operators it covers, SQL or None)
+REGISTRY: dict[str, tuple[Callable, tuple[str, ...], str | None]] = {}
+MODULES = ("votes", "consensus", "labels", "overlap", "spatial", "text", "stats", "vectors", "checks", "greedy", "files", "streams")
+
+
+def query(ops: str, sql: str | None = None):
+    """Register a function of (spark, sf_dir) under its name."""
+
+    def put(f):
+        if f.__name__ in REGISTRY:
+            raise ValueError(f"query {f.__name__} exists")
+        REGISTRY[f.__name__] = (f, tuple(ops.split()), sql)
+        return f
+
+    return put
+
+
+def load() -> dict:
+    for m in MODULES:
+        importlib.import_module(f"tallyframe.plans.{m}")
+    return REGISTRY
 
 
 def queries() -> dict:
-    return {name: run for m in _modules() for name, run in m.QUERIES.items()}
+    return {name: f for name, (f, _, _) in load().items()}
 
 
 def oracle_sql() -> dict:
-    return {name: sql for m in _modules() for name, sql in m.SQL.items()}
+    return {name: sql for name, (_, _, sql) in load().items() if sql}
