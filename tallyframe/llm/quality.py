@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import build, mix, passing
 from .storage import materialize
 
 BITS = 16
@@ -154,15 +155,23 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _featurize(batches):
+def _featurize(batches, filled):
     known: dict = {}
     for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        batch = batch.take(pa.array(passing(filled.value, mix(ids))))
         out = [
             features(batch.column(1)[i].as_buffer().to_pybytes(), known).astype(np.uint16).tobytes() for i in range(batch.num_rows)
         ]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "slots"])
 
 
+def _hashed(batches):
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(mix(ids).view(np.int64))], ["hash"])
+
+
 def _count(batches):
     total = np.zeros((2, SLOTS), dtype=np.int64)
     for batch in batches:
@@ -187,11 +196,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
         .where("label = other")
         .select("doc_id", F.col("label").cast("int").alias("label"))
     )
-    # Only the compact features are shuffled to the labels, not the texts.
+    judged = materialize(judged, "judged")
+    filled = docs.sparkSession.sparkContext.broadcast(build(judged.select("doc_id").mapInArrow(_hashed, "hash bigint")))
+    # Only compact features are shuffled to the labels, not texts, and only of rows that may have a label.
     shown = _text(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))).mapInArrow(
-        _featurize, "doc_id bigint, slots binary"
+        lambda b: _featurize(b, filled), "doc_id bigint, slots binary"
     )
-    rows = materialize(shown.join(judged, "doc_id"), "training")
+    rows = materialize(shown.join(judged, "doc_id").withColumn("order", F.xxhash64("doc_id")), "training")
     counts = (
         rows.select("label", "slots")
         .mapInArrow(_count, "slot int, low bigint, high bigint")
@@ -204,7 +215,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     low[at] += counts.column("low").to_numpy()
     high[at] += counts.column("high").to_numpy()
     ratio = np.log(high / high.sum()) - np.log(low / low.sum())
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "slots").limit(max_rows).toArrow()
+    # The order is found on narrow rows; features are fetched up to the last of the sample.
+    last = rows.select("order").orderBy("order").limit(max_rows).agg(F.max("order")).first()[0]
+    sample = rows.where(F.col("order") <= F.lit(last)).orderBy("order", "doc_id", "slots").limit(max_rows).toArrow()
     y = sample.column("label").to_numpy()
     if len(set(y.tolist())) < 2:
         return NO_EVIDENCE
