@@ -120,7 +120,7 @@ def _one_group(poses: DataFrame, run, schema: str) -> DataFrame:
     """Cameras of a scene are some hundreds: one group holds them."""
     from pyspark.sql import functions as F
 
-    return poses.groupBy(F.lit(1)).applyInPandas(run, schema)
+    return poses.groupBy(F.lit("all")).applyInPandas(run, schema)
 
 
 def pose_distance(p, q, scale: float, weight: float) -> float:

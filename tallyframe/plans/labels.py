@@ -355,3 +355,21 @@ def seed_policy(spark, d):
     s = j.groupBy("concept").agg((F.count_if(own) / F.count("*")).alias("same"), (F.count_if(~own) / F.count("*")).alias("other"))
     reasons = F.array_compact(F.array(F.when(F.col("same") < 0.33, "few_of_class"), F.when(F.col("other") > 0.66, "competing")))
     return s.select("concept", F.round("same", 6).alias("same"), F.round("other", 6).alias("other"), F.array_join(reasons, ",").alias("reasons"))
+
+
+@query("TOP21", f"WITH {PROPS}, {GROUPS} SELECT grp, proposals, CAST(row_number() OVER (ORDER BY score DESC, size DESC, grp) AS INT) AS place FROM g WHERE proposals <= 5")
+def few_view_groups(spark, d):
+    """Groups of hardly any proposals, by score and size."""
+    kept = _groups(spark, d).where("proposals <= 5")
+    return op.renumbered(kept, [F.desc("score"), F.desc("size"), F.col("grp")]).select("grp", "proposals", F.col("id").alias("place"))
+
+
+@query(
+    "X35",
+    f"""WITH {PROPS}, g AS (SELECT grp, any_value(concept) AS concept, count(DISTINCT entity) AS size, max(score) AS reliability, string_agg(DISTINCT CAST(frame AS VARCHAR), ',' ORDER BY CAST(frame AS VARCHAR)) AS frames FROM props GROUP BY 1)
+SELECT concept, CAST(sum(size) AS BIGINT) AS size, round(sum(reliability * size) / sum(size), 6) AS reliability, count(*) AS sources FROM g GROUP BY 1""",
+)
+def merged_group_records(spark, d):
+    g = _props(spark, d).groupBy("grp").agg(F.first("concept").alias("concept"), F.countDistinct("entity").alias("size"), F.max("score").alias("reliability"))
+    weighted = F.sum(F.col("reliability") * F.col("size")) / F.sum("size")
+    return g.groupBy("concept").agg(F.sum("size").alias("size"), F.round(weighted, 6).alias("reliability"), F.count("*").alias("sources"))
