@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize, scratch_path
+from ..storage import materialize, scratch_path
 
 UNIT = 64
 RATE = 8000

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tallyframe.llm import simhash
-from tallyframe.llm.components import components
+from tallyframe.operators.graph import components
 
 from .helpers import docs, empty
 
