@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm import decontaminate, mixing, quality, secrets, simhash
-from tallyframe.llm.storage import materialize, table
+from tallyframe.sources.encodings import table
+from tallyframe.storage import materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
