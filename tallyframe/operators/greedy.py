@@ -85,7 +85,7 @@ def sequential_clusters(regions: DataFrame, merge_iou: float, containment: float
                 if iou > best_iou or inside > best_in:
                     best, best_iou, best_in = g, iou, inside
             if best is not None and (best_iou >= merge_iou or best_in >= containment):
-                best[1] |= own
+                best[1].update(own)
             else:
                 best = (r.region, own)
                 groups.append(best)
