@@ -76,7 +76,7 @@ def guard_score(name: Column, target: Column, prompts: Column) -> Column:
 
 def best_guard(names: DataFrame, specs: DataFrame) -> DataFrame:
     """(name, class, score): the one best class of each name; none if several are equally good."""
-    scored = names.crossJoin(F.broadcast(specs)).withColumn("score", guard_score(F.col("name"), F.col("class"), F.col("prompts"))).where("score > 0")
+    scored = names.crossJoin(specs).withColumn("score", guard_score(F.col("name"), F.col("class"), F.col("prompts"))).where("score > 0")
     top = scored.withColumn("best", F.max("score").over(Window.partitionBy("name"))).where("score = best")
     return top.groupBy("name").agg(F.count("*").alias("n"), F.min("class").alias("class"), F.max("score").alias("score")).where("n = 1").drop("n")
 
@@ -90,7 +90,7 @@ def resolved_phrases(phrases: DataFrame, prompts: DataFrame) -> DataFrame:
     p = phrases.select("phrase").distinct().withColumn("text", words(F.col("phrase")))
     p = p.withColumn("tokens", F.array_distinct(F.split("text", " ")))
     q = prompts.select("class", words(F.col("prompt")).alias("asked")).where("asked <> ''").withColumn("own", F.array_distinct(F.split("asked", " ")))
-    j = p.join(F.broadcast(q), F.lit(True), "left")
+    j = p.join(q, F.lit(True), "left")
     pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     j = j.withColumn("whole", F.contains(pad(F.col("text")), pad(F.col("asked"))))
     inside = (F.size(F.array_except("tokens", "own")) == 0) & (F.size("tokens") < F.size("own")) & (F.col("text") != "")

@@ -14,7 +14,7 @@ def merged(base: DataFrame, extension: DataFrame, ids: DataFrame) -> DataFrame:
     place wins, a later class covering an earlier one; the rest of the base stays.
     """
     over = (
-        extension.join(F.broadcast(ids), "extension")
+        extension.join(ids, "extension")
         .groupBy("entity")
         .agg(F.max(F.struct("place", "new")).alias("o"))
         .select("entity", F.col("o.new").alias("new"))
@@ -86,7 +86,7 @@ def competing(candidates: DataFrame, base: DataFrame, classes: DataFrame) -> Dat
     total = candidates.groupBy("candidate").agg(F.count("*").alias("total"))
     counts = (
         candidates.join(base.where("label > 0"), "entity")
-        .join(F.broadcast(classes), "label")
+        .join(classes, "label")
         .where("class_id <> target")
         .groupBy("candidate", "class_id", "label")
         .agg(F.count("*").alias("overlap"))
@@ -123,7 +123,7 @@ def assigned(proposals: DataFrame, priorities: Column, reliability_views: float,
     quality = (
         touched.groupBy("grp", "entity")
         .agg(F.sum("score").alias("score"))
-        .join(F.broadcast(totals), "grp")
+        .join(totals, "grp")
         .withColumn("evidence", F.col("score") / F.col("total") * F.col("views") / (F.col("views") + F.lit(reliability_views)))
         .where(F.round("evidence", 9) >= min_quality)
     )

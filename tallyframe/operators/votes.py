@@ -45,7 +45,7 @@ def weighted_votes(votes: DataFrame, confidences: DataFrame, quality: Column, th
     return (
         votes.withColumn("share", share)
         .where(F.col("mass") > threshold)
-        .join(F.broadcast(confidences), "class_id", "left")
+        .join(confidences, "class_id", "left")
         .withColumn("weight", F.col("share") * F.coalesce("confidence", F.lit(1.0)) * quality)
         .drop("share", "confidence", "mass")
     )

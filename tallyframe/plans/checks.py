@@ -91,7 +91,7 @@ def gate_check(spark, d):
 def lookup_with_fallback(spark, d):
     first = table(spark, d, "region").where("r_regionkey < 3")
     second = spark.createDataFrame([(0, "fallback_0"), (1, "fallback_1"), (2, "fallback_2")], "k int, other string")
-    j = table(spark, d, "nation").join(F.broadcast(first), F.col("n_regionkey") == F.col("r_regionkey"), "left").join(F.broadcast(second), F.pmod("n_nationkey", F.lit(3)) == F.col("k"), "left")
+    j = table(spark, d, "nation").join(first, F.col("n_regionkey") == F.col("r_regionkey"), "left").join(F.broadcast(second), F.pmod("n_nationkey", F.lit(3)) == F.col("k"), "left")
     return j.select(F.col("n_name").alias("name"), F.coalesce("r_name", "other").alias("frame"))
 
 
@@ -118,7 +118,7 @@ def evenly_spaced(spark, d):
 def trace_inventory(spark, d):
     even = table(spark, d, "nation").where("n_nationkey % 2 = 0")
     rows = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("site"), F.col("c_mktsegment").alias("scene")).agg(F.count("*").alias("files"), F.max("c_custkey").alias("best"))
-    return rows.join(F.broadcast(even), F.col("site") == F.col("n_nationkey"), "left").select("site", "scene", "files", "best", F.col("n_name").alias("setting"))
+    return rows.join(even, F.col("site") == F.col("n_nationkey"), "left").select("site", "scene", "files", "best", F.col("n_name").alias("setting"))
 
 
 @query("X38 X39 X44", "SELECT l_shipdate::DATE - DATE '1992-01-01' AS frame, list_sort(list(DISTINCT l_returnflag)) AS classes FROM lineitem WHERE l_suppkey = 1 GROUP BY 1".replace("l_shipdate::DATE - DATE '1992-01-01' AS frame, list_sort(list(DISTINCT l_returnflag)) AS classes", "CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS INT) AS frame, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS classes, count(*) AS n"))

@@ -206,7 +206,7 @@ def component_support(spark, d):
     props = _props(spark, d)
     frames = props.groupBy("grp").agg(F.countDistinct("frame").alias("frames"))
     return (
-        props.join(F.broadcast(frames), "grp")
+        props.join(frames, "grp")
         .groupBy("grp", "entity")
         .agg(
             F.countDistinct("frame").alias("observers"),
@@ -301,13 +301,13 @@ def extension_entities(spark, d):
 @query(
     "X21 JSN1 CMP13 X20",
     f"""WITH {BASE}, {EXT}, {MERGED}, n AS (SELECT label, count(*) AS n FROM merged GROUP BY 1)
-SELECT id AS label, coalesce(n, 0) AS n, '{{"id":' || id || ',"name":"label_' || lpad(CAST(id AS VARCHAR), 2, '0') || '","gaussian_count":' || coalesce(n, 0) || '}}' AS entry FROM (SELECT unnest(range(0, 10)) AS id) LEFT JOIN n ON n.label = id""",
+SELECT id AS label, coalesce(n, 0) AS n, '{{"id":' || id || ',"name":"label_' || lpad(CAST(id AS VARCHAR), 2, '0') || '","entity_count":' || coalesce(n, 0) || '}}' AS entry FROM (SELECT unnest(range(0, 10)) AS id) LEFT JOIN n ON n.label = id""",
 )
 def label_map(spark, d):
     ids = spark.range(0, 10).select(F.col("id").alias("label"))
     counts = _merged(spark, d).groupBy("label").agg(F.count("*").alias("n"))
     rows = ids.join(counts, "label", "left").fillna(0, ["n"])
-    entry = F.to_json(F.struct(F.col("label").alias("id"), F.concat(F.lit("label_"), F.lpad(F.col("label").cast("string"), 2, "0")).alias("name"), F.col("n").alias("gaussian_count")))
+    entry = F.to_json(F.struct(F.col("label").alias("id"), F.concat(F.lit("label_"), F.lpad(F.col("label").cast("string"), 2, "0")).alias("name"), F.col("n").alias("entity_count")))
     return rows.select("label", "n", entry.alias("entry"))
 
 

@@ -168,7 +168,7 @@ SELECT label, count(*) FILTER (x BETWEEN x0 - 0.1 * (x1 - x0) AND x1 + 0.1 * (x1
 def envelope_membership(spark, d):
     p = points(spark, d)
     q = [F.percentile(c, [0.1, 0.9]).alias(f"q{c}") for c in "xy"]
-    j = p.join(F.broadcast(p.groupBy("label").agg(*q)), "label")
+    j = p.join(p.groupBy("label").agg(*q), "label")
     low, high = (lambda c: F.get(f"q{c}", F.lit(0))), (lambda c: F.get(f"q{c}", F.lit(1)))
     inside = F.lit(True)
     for c in "xy":
@@ -183,7 +183,7 @@ PAIR = "p AS (SELECT a.observer AS a, b.observer AS b, a.px, a.py, a.pz, a.yaw,
 def _pairs(spark, d):
     c = cameras(spark, d)
     q = c.where("observer <= 20").select(F.col("observer").alias("b"), *(F.col(f"p{x}").alias(f"q{x}") for x in "xyz"), F.col("yaw").alias("qyaw"))
-    return c.withColumnRenamed("observer", "a").join(F.broadcast(q), F.col("a") < F.col("b"))
+    return c.withColumnRenamed("observer", "a").join(q, F.col("a") < F.col("b"))
 
 
 @query("MTH11", f"WITH {C1}, {PAIR} SELECT a, b, round(sqrt(((px-qx)*(px-qx) + (py-qy)*(py-qy) + (pz-qz)*(pz-qz)) / 100.0 + power(abs(((yaw - qyaw + {math.pi}) - floor((yaw - qyaw + {math.pi}) / {2 * math.pi}) * {2 * math.pi}) - {math.pi}) / {math.pi}, 2)), 5) AS distance FROM p")
@@ -212,7 +212,7 @@ uv AS (SELECT observer, entity, depth, CASE WHEN depth > 1e-6 THEN 320 + 200 * s
 def _projected(spark, d):
     u, v, depth, inside = op.projected(200.0, 640.0, 480.0)
     cams = cameras(spark, d).where("observer <= 30")
-    return points(spark, d).crossJoin(F.broadcast(cams)).select("observer", "entity", depth.alias("depth"), u.alias("u"), v.alias("v"), inside.alias("inside"))
+    return points(spark, d).crossJoin(cams).select("observer", "entity", depth.alias("depth"), u.alias("u"), v.alias("v"), inside.alias("inside"))
 
 
 METRIC = f"WITH {C1}, {P1}, {PROJ}, m AS (SELECT observer, avg(CAST(depth > 1e-6 AS DOUBLE)) AS front, avg(CAST(coalesce(u >= 0 AND u < 640 AND v >= 0 AND v < 480, false) AS DOUBLE)) AS inside, quantile_cont(depth, 0.01) AS z01 FROM uv GROUP BY 1)"

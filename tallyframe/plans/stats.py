@@ -146,7 +146,7 @@ def box_overlaps(spark, d):
     q = c.where("k <= 30").select(F.col("k").alias("b"), *(F.col(n).alias(f"q{n}") for n in names))
     pb, qb = [F.col(f"p{n}") for n in names], [F.col(f"q{n}") for n in names]
     px = op.pixel_intersection([F.floor(x) for x in pb], [F.floor(x) for x in qb])
-    return p.join(F.broadcast(q), F.col("a") < F.col("b")).select("a", "b", F.round(op.box_iou(pb, qb), 6).alias("iou"), px.cast("bigint").alias("pixels"))
+    return p.join(q, F.col("a") < F.col("b")).select("a", "b", F.round(op.box_iou(pb, qb), 6).alias("iou"), px.cast("bigint").alias("pixels"))
 
 
 @query("MTH29 MTH30", "SELECT p_partkey AS k, CAST(floor((p_size * 13 + 7) * 512 / least(p_size * 13 + 7, p_size * 9 + 20) + 0.5) AS BIGINT) AS sw, CAST(floor((p_size * 9 + 20) * 512 / least(p_size * 13 + 7, p_size * 9 + 20) + 0.5) AS BIGINT) AS sh, CAST(greatest(1, round_even((p_size * 13 + 7) * least(1.0::DOUBLE, 320.0::DOUBLE / (p_size * 13 + 7)), 0)) AS BIGINT) AS w, CAST(greatest(1, round_even((p_size * 9 + 20) * least(1.0::DOUBLE, 320.0::DOUBLE / (p_size * 13 + 7)), 0)) AS BIGINT) AS h FROM part")
@@ -169,7 +169,7 @@ def region_matches(spark, d):
     a, b = items.groupBy("mask").agg(F.count("*").alias("na")), items.groupBy("region").agg(F.count("*").alias("nb"))
     shared = F.col("shared")
     score = 0.5 * shared / (F.col("na") + F.col("nb") - shared) + 0.3 * shared / F.col("na") + 0.2 * F.col("conf")
-    s = m.join(a, "mask").join(F.broadcast(b), "region").withColumn("score", score)
+    s = m.join(a, "mask").join(b, "region").withColumn("score", score)
     order = Window.partitionBy("mask").orderBy(F.round("score", 9).desc(), "region")
     r = s.withColumn("place", F.row_number().over(order)).withColumn("second", F.lead("score").over(order)).where("place = 1")
     status = F.when(shared / F.col("na") < 0.2, "rejected").when(F.col("score") - F.col("second") < 0.001, "ambiguous").otherwise("owned")

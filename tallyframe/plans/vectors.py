@@ -29,7 +29,7 @@ def cosine_pairs(spark, d):
 def prompt_aggregation(spark, d):
     e = table(spark, d, "embeddings")
     prompts = e.where("vec_id % 25 = 0").select(F.col("label").alias("class"), F.col("embedding").alias("q"))
-    s = e.select("vec_id", "embedding").join(F.broadcast(prompts)).select("vec_id", "class", op.cosine(F.col("embedding"), F.col("q")).alias("c"))
+    s = e.select("vec_id", "embedding").join(prompts).select("vec_id", "class", op.cosine(F.col("embedding"), F.col("q")).alias("c"))
     r = s.withColumn("place", F.row_number().over(Window.partitionBy("vec_id", "class").orderBy(F.round("c", 9).desc())))
     return r.groupBy("vec_id", "class").agg(F.round(F.avg("c"), 6).alias("mean"), F.round(F.max("c"), 6).alias("best"), F.round(F.avg(F.when(F.col("place") <= 2, F.col("c"))), 6).alias("top2"))
 
@@ -81,7 +81,7 @@ def stability_tiers(spark, d):
     best = lambda rows, keys: rows.groupBy(*keys).agg(F.max(F.struct(F.round("p", 9).alias("p"), (-F.col("class_id")).alias("c"))).alias("b")).select(*keys, (-F.col("b.c")).alias("w"))
     full = best(_robust(soft, ["label"]), ["label"]).withColumnRenamed("w", "winner")
     holdouts = soft.where("vec_id % 10 = 0").select("label", F.col("vec_id").alias("held"))
-    rest = soft.join(F.broadcast(holdouts), "label").where("vec_id <> held")
+    rest = soft.join(holdouts, "label").where("vec_id <> held")
     held = best(_robust(rest, ["label", "held"]), ["label", "held"])
     g = full.join(held, "label", "left").groupBy("label", "winner").agg(F.count("held").alias("held_out"), F.count_if(F.col("w") == F.col("winner")).alias("agreeing"))
     missing = F.col("held_out") - F.col("agreeing")

@@ -58,7 +58,7 @@ def compact_ontology(rows: DataFrame) -> DataFrame:
     """(raw_id, class_id) of a many-to-one map: kept classes numbered by first appearance, ignored ones 0."""
     first = rows.where("type <> 'ignore'").groupBy("project").agg(F.min("index").alias("at"))
     ids = first.select("project", F.row_number().over(Window.orderBy("at")).alias("class_id"))
-    return rows.join(F.broadcast(ids), "project", "left").select(F.col("index").alias("raw_id"), F.when(F.col("type") == "ignore", 0).otherwise(F.col("class_id")).alias("class_id"))
+    return rows.join(ids, "project", "left").select(F.col("index").alias("raw_id"), F.when(F.col("type") == "ignore", 0).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def aliases(spark: SparkSession, path: str) -> DataFrame:

@@ -23,7 +23,7 @@ def event_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = events.groupBy(
         F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("observer"), F.col("user_id").alias("entity"), "event_type"
     ).agg(F.count("*").cast("double").alias("mass"))
-    return counts.join(F.broadcast(class_ids(events, "event_type")), "event_type").select("observer", "entity", "class_id", "mass")
+    return counts.join(class_ids(events, "event_type"), "event_type").select("observer", "entity", "class_id", "mass")
 
 
 def order_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def order_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = items.groupBy(
         F.col("l_suppkey").alias("observer"), F.col("l_partkey").alias("entity"), F.concat("l_returnflag", "l_linestatus").alias("flag")
     ).agg(F.sum("l_quantity").alias("mass"))
-    return flags.join(F.broadcast(class_ids(flags, "flag")), "flag").select("observer", "entity", "class_id", "mass")
+    return flags.join(class_ids(flags, "flag"), "flag").select("observer", "entity", "class_id", "mass")
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
