@@ -34,3 +34,13 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {name: sql for name, (_, _, sql) in load().items() if sql}
+
+
+def coverage() -> str:
+    """Markdown table of operator ids and the queries that exercise them."""
+    by: dict[str, list[str]] = {}
+    for name, (_, ops, sql) in load().items():
+        for o in ops:
+            by.setdefault(o, []).append(f"`{name}`" + ("" if sql else " (rows)"))
+    split = lambda o: (o.rstrip("0123456789"), int(o[len(o.rstrip("0123456789")) :]))
+    return "\n".join(["| Operator | Queries |", "|---|---|", *(f"| {o} | {', '.join(by[o])} |" for o in sorted(by, key=split))])
