@@ -85,10 +85,29 @@ def prompt_knapsack(spark, d):
     return op.within_budget(items, 60)
 
 
-@query("CMP10 GR25 GR26 X19", None)
-def guarded_refinement(spark, d):
+@query("GR25 X19", None)
+def takeover_sequence(spark, d):
+    """Candidates by rising risk take what no earlier one took."""
     from .labels import _base, _claims, competing_risk
 
     support = _claims(spark, d).join(_base(spark, d).where("label <> 3"), "entity").groupBy(F.col("concept").alias("candidate")).agg(F.sort_array(F.collect_list("entity")).alias("entities"))
     j = support.join(competing_risk(spark, d).select("candidate", "risk"), "candidate").withColumn("size", F.size("entities")).withColumn("target", F.col("candidate"))
     return op.guarded_accept(j, 0.9, 5).select("candidate", "accepted", "reason", F.size("entities").alias("taken"))
+
+
+@query("CMP10 GR16 GR17 MTH16 MTH17 MTH18 AGG14", None)
+def guarded_refinement(spark, d):
+    """Parts refined by groups of suppliers: classes by residue, positions from size, price and key."""
+    from ..operators import refine
+    from .labels import _props
+
+    part = table(spark, d, "part")
+    at = part.select(F.col("p_partkey").alias("entity"), (F.col("p_size") / 10).alias("x"), F.pmod("p_retailprice", F.lit(7.0)).alias("y"), (F.pmod("p_partkey", F.lit(53)) / 10).alias("z"))
+    label = (1 + F.pmod("p_partkey", F.lit(6))).cast("int")
+    base = part.select(F.col("p_partkey").alias("entity"), label.alias("label"), (1 + F.pmod(label, F.lit(3))).cast("int").alias("base_class"))
+    props = _props(spark, d).withColumn("class_id", (1 + F.pmod("concept", F.lit(3))).cast("int"))
+    sources = props.where("weight >= 30").select("grp", "class_id", "entity").distinct()
+    claims = props.groupBy("class_id", "entity").agg(F.countDistinct("frame").alias("n")).where("n >= 6").select("class_id", "entity")
+    groups = props.groupBy("grp").agg(F.countDistinct("region").alias("proposals"), F.countDistinct("frame").alias("views"))
+    bounds = refine.Bounds(min_anchor=3, min_coverage=0.05, voxel=1.5)
+    return refine.refined(sources, claims, base, at, groups, {1, 2}, bounds)[1].drop("parent")

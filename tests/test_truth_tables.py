@@ -316,3 +316,52 @@ def test_principal_extents(spark):
     df = spark.createDataFrame(pts, "entity long, grp int, x double, y double, z double")
     r = sp.robust_extents(df, "grp").first()
     assert r["e1"] > 7 and 1 < r["e2"] < 2.2 and r["e3"] < 0.2
+
+
+def refinement(spark, **change):
+    """A chair (label 1, class 1) of 100 points, a table (label 2, class 2), and groups over them."""
+    from tallyframe.operators import refine
+
+    rng = random.Random(3)
+    points, base, sources, claims = [], [], [], []
+
+    def blob(first, n, x, label, cls):
+        for i in range(first, first + n):
+            points.append((i, x + rng.random(), rng.random(), rng.random()))
+            base.append((i, label, cls))
+
+    blob(0, 100, 0.0, 1, 1)  # the chair
+    blob(100, 40, 0.9, 0, 0)  # unlabelled points beside it
+    blob(200, 100, 10.0, 2, 2)  # the table
+    blob(400, 80, 20.0, 0, 0)  # another chair, without an anchor
+    groups = {1: (1, [*range(0, 140)], 3, 4), 2: (2, [*range(0, 30)], 3, 4), 3: (1, [*range(400, 480)], 6, 6), 4: (2, [*range(200, 300)], 1, 1)}
+    for g, (cls, entities, _, _) in groups.items():
+        sources += [(g, cls, e) for e in entities]
+    claims = [(1, e) for e in [*range(0, 140), *range(400, 480)]] + [(2, e) for e in range(200, 300)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    return refine.refined(
+        frame(sources, "grp int, class_id int, entity long"),
+        frame(claims, "class_id int, entity long"),
+        frame(base, "entity long, label int, base_class int"),
+        frame(points, "entity long, x double, y double, z double"),
+        frame([(g, p, v) for g, (_, _, p, v) in groups.items()], "grp int, proposals int, views int"),
+        {1, 2},
+        refine.Bounds(min_anchor=20, voxel=0.6, envelope_margin=1.0, prototype_size=6.0, prototype_shape=6.0, **change),
+    )
+
+
+def test_guarded_refinement(spark):
+    out, report = refinement(spark)
+    got = dicts(report, "grp")
+    assert [got[g]["mode"] for g in (1, 2, 3, 4)] == ["anchor", "rejected", "prototype", "rejected"]
+    assert got[2]["reason"] == "anchor_overlap" and got[4]["reason"] == "support"
+    labels = {r["entity"]: r["label"] for r in out.collect()}
+    # The chair keeps its label, its neighbours and the second chair get the groups' new ones.
+    assert all(labels[e] == 1 for e in range(100)) and all(labels[e] == 2 for e in range(200, 300))
+    assert {labels[e] for e in range(400, 480)} == {got[3]["label"]} and got[3]["changed"] == 80
+    assert got[1]["changed"] > 20 and got[1]["changed"] == sum(labels[e] == got[1]["label"] for e in range(100, 140))
+
+
+def test_refinement_without_prototypes(spark):
+    got = dicts(refinement(spark, prototype_views=99, prototype_strong_views=99)[1], "grp")
+    assert got[3]["mode"] == "rejected" and got[3]["changed"] == 0
