@@ -38,6 +38,7 @@ def texts(seed=1, n=60):
     rng = random.Random(seed)
     base = [" ".join(rng.choice("ab cd Efg hij klm nop É x qrs".split(" ")) + str(rng.randrange(40)) for _ in range(rng.choice([1, 2, 3, 80, 400]))) for _ in range(n)]
     out = [None, "", " \t\n", "word", "WORD", "two words", *base]
+    out.append(" ".join(f"long{rng.randrange(9)}" for _ in range(40_000)))
     for t in base[:30]:
         w = t.split(" ")
         w[rng.randrange(len(w))] = "changed"
