@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 #: name -> (query, ids of the operators it covers, SQL or None)
 REGISTRY: dict[str, tuple[Callable, tuple[str, ...], str | None]] = {}
-MODULES = ("votes", "consensus", "labels", "overlap", "spatial", "text", "stats", "vectors", "checks", "greedy", "composites", "files", "streams")
+MODULES = ("votes", "consensus", "labels", "overlap", "spatial", "text", "stats", "vectors", "checks", "greedy", "composites", "files", "scoring", "streams")
 
 
 def query(ops: str, sql: str | None = None):
