@@ -40,7 +40,16 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NUMBER = re.compile(r"(?<![0-9A-Za-z])\(?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,18}(?![0-9A-Za-z])")
+# Groups of digits by their usual shapes first, so that a telephone number and a card side by side stay two.
+_NUMBER = re.compile(
+    r"(?<![0-9A-Za-z+])(?:"
+    r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){2,3}"
+    r"|(?:[0-9]{4}[ -]){3}[0-9]{1,7}"
+    r"|[0-9]{13,19}"
+    r"|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"
+    r"|\(?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,14}"
+    r")(?![0-9A-Za-z])"
+)
 _ADDRESS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}){1,5}", re.I)
 _LABELS = re.compile(r"[^a-z0-9-]+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
