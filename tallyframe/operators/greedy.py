@@ -10,6 +10,10 @@ import math
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..storage import materialize
 
 
 def constrained_clusters(edges: DataFrame, forbidden: DataFrame, threshold: float) -> DataFrame:
@@ -118,8 +122,6 @@ def suppressed(boxes: DataFrame, min_area: float, max_area: float, max_iou: floa
 
 def _one_group(poses: DataFrame, run, schema: str) -> DataFrame:
     """Cameras of a scene are some hundreds: one group holds them."""
-    from pyspark.sql import functions as F
-
     return poses.groupBy(F.lit("all")).applyInPandas(run, schema)
 
 
@@ -208,18 +210,27 @@ def within_budget(items: DataFrame, budget: int) -> DataFrame:
     return _one_group(items, run, "item string, kept boolean")
 
 
-def guarded_accept(candidates: DataFrame, max_risk: float, min_size: int) -> DataFrame:
-    """Sequential takeover: candidates (candidate, target, size, risk, entities) by rising risk take what no earlier
-    one took; accepted while enough is left. (candidate, accepted, reason, entities)."""
-
-    def run(mine: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for r in mine.sort_values(["risk", "size", "candidate"], ascending=[True, False, True]).itertuples():
-            left = sorted(set(r.entities) - taken)
-            reason = "risk" if r.risk > max_risk else "small" if len(left) < min_size else "accepted"
-            if reason == "accepted":
-                taken |= set(left)
-            out.append((r.candidate, reason == "accepted", reason, left if reason == "accepted" else []))
-        return pd.DataFrame(out, columns=["candidate", "accepted", "reason", "entities"])
-
-    return _one_group(candidates, run, "candidate int, accepted boolean, reason string, entities array<long>")
+def takeover(candidates: DataFrame, support: DataFrame, max_risk: float, min_size: int) -> DataFrame:
+    """(candidate, accepted, reason, taken): candidates (candidate, risk, size) by rising risk, falling size and id
+    take the entities of ``support`` (candidate, entity) that no accepted earlier one took; those left with too few go.
+
+    What a candidate gets depends on earlier ones only, so the earliest that falls short is final, and each
+    round drops it. Entities stay in DataFrames; a round is one aggregate, and there are as many as drops.
+    """
+    order = Window.orderBy("risk", F.desc("size"), "candidate")  # candidates are a dimension
+    ranked = materialize(candidates.withColumn("place", F.row_number().over(order)), "ranked")
+    alive = ranked.where(F.col("risk") <= max_risk).select("candidate", "place")
+    dropped: list = []
+    while True:
+        rest = alive.where(~F.col("candidate").isin(dropped)) if dropped else alive
+        first = support.join(rest, "candidate").groupBy("entity").agg(F.min(F.struct("place", "candidate")).alias("o"))
+        taken = first.groupBy(F.col("o.candidate").alias("candidate")).agg(F.count("*").alias("taken"))
+        counts = materialize(rest.join(taken, "candidate", "left").fillna(0, ["taken"]), "taken")
+        short = counts.where(F.col("taken") < min_size).orderBy("place").limit(1).collect()
+        if not short:
+            break
+        dropped.append(short[0]["candidate"])
+    reason = F.when(F.col("taken").isNotNull(), "accepted").when(F.col("risk") > max_risk, "risk").otherwise("small")
+    return ranked.join(counts.select("candidate", "taken"), "candidate", "left").select(
+        "candidate", F.col("taken").isNotNull().alias("accepted"), reason.alias("reason"), F.coalesce("taken", F.lit(0)).alias("taken")
+    )

@@ -53,9 +53,10 @@ def kept_components(members: DataFrame, minimum: int, ratio: float, by: list[str
     """Members of components of at least max(minimum, ceil(ratio * largest)); of the largest if none is."""
     by = by or []
     sizes = component_sizes(members, by)
-    largest = F.max("size").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1)))
+    largest = sizes.groupBy(*by).agg(F.max("size").alias("largest"))
+    sizes = sizes.join(largest, by) if by else sizes.crossJoin(F.broadcast(largest))
     bound = F.greatest(F.lit(minimum), F.ceil(F.col("largest") * F.lit(ratio)))
-    good = sizes.withColumn("largest", largest).where((F.col("size") >= bound) | ((F.col("largest") < F.lit(minimum)) & (F.col("size") == F.col("largest"))))
+    good = sizes.where((F.col("size") >= bound) | ((F.col("largest") < F.lit(minimum)) & (F.col("size") == F.col("largest"))))
     return members.join(good.select(*by, "component"), [*by, "component"], "left_semi")
 
 

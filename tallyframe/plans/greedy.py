@@ -90,9 +90,9 @@ def takeover_sequence(spark, d):
     """Candidates by rising risk take what no earlier one took."""
     from .labels import _base, _claims, competing_risk
 
-    support = _claims(spark, d).join(_base(spark, d).where("label <> 3"), "entity").groupBy(F.col("concept").alias("candidate")).agg(F.sort_array(F.collect_list("entity")).alias("entities"))
-    j = support.join(competing_risk(spark, d).select("candidate", "risk"), "candidate").withColumn("size", F.size("entities")).withColumn("target", F.col("candidate"))
-    return op.guarded_accept(j, 0.9, 5).select("candidate", "accepted", "reason", F.size("entities").alias("taken"))
+    support = _claims(spark, d).join(_base(spark, d).where("label <> 3"), "entity").select(F.col("concept").alias("candidate"), "entity")
+    sizes = support.groupBy("candidate").agg(F.count("*").alias("size"))
+    return op.takeover(sizes.join(competing_risk(spark, d).select("candidate", "risk"), "candidate"), support, 0.9, 5)
 
 
 @query("CMP10 GR16 GR17 MTH16 MTH17 MTH18 AGG14", None)

@@ -365,3 +365,11 @@ def test_guarded_refinement(spark):
 def test_refinement_without_prototypes(spark):
     got = dicts(refinement(spark, prototype_views=99, prototype_strong_views=99)[1], "grp")
     assert got[3]["mode"] == "rejected" and got[3]["changed"] == 0
+
+
+def test_takeover_is_sequential(spark):
+    sets = {1: (0.1, [1, 2, 3, 4]), 2: (0.2, [3, 4, 5]), 3: (0.3, [5, 6, 7]), 4: (0.9, [8, 9, 10]), 5: (0.4, [3, 4, 5, 11])}
+    c = spark.createDataFrame([(k, r, len(e)) for k, (r, e) in sets.items()], "candidate int, risk double, size int")
+    s = spark.createDataFrame([(k, x) for k, (_, e) in sets.items() for x in e], "candidate int, entity long")
+    got = {r["candidate"]: (r["reason"], r["taken"]) for r in greedy.takeover(c, s, 0.5, 2).collect()}
+    assert got == {1: ("accepted", 4), 2: ("small", 0), 3: ("accepted", 3), 4: ("risk", 0), 5: ("small", 0)}
