@@ -25,11 +25,13 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize, scratch_path
+from .bitmap import build, passing
 
 UNIT = 64
 RATE = 8000
@@ -37,8 +39,8 @@ RATE = 8000
 CUT_BITS = 12
 MIN_CHUNK = 1 << 10
 MAX_CHUNK = 1 << 15
-#: Payloads up to which the list of shared ones is sent to all executors; beyond, Spark shuffles the texts.
-BROADCAST_ROWS = 500_000
+#: Payloads that a task remembers, to pass each on once.
+REMEMBERED = 200_000
 
 
 def _gear() -> np.ndarray:
@@ -118,7 +120,7 @@ def _names(batches):
             own = batch.column(0)[k].as_py()
             if own in seen:
                 continue
-            if len(seen) < 200_000:
+            if len(seen) < REMEMBERED:
                 seen.add(own)
             data, start = batch.column(1)[k].as_buffer().to_pybytes(), 0
             for i, end in enumerate(cuts(data, GEAR)):
@@ -131,6 +133,31 @@ def _names(batches):
         )
 
 
+def _maybe(filled):
+    """Whether the filter may hold a hash."""
+
+    @F.pandas_udf("boolean")
+    def maybe(hashes: pd.Series) -> pd.Series:
+        out = np.zeros(len(hashes), dtype=bool)
+        out[passing(filled.value, hashes.to_numpy().view(np.uint64))] = True
+        return pd.Series(out)
+
+    return maybe
+
+
+def _once(batches):
+    """Each payload once, as far as the task remembers."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        keep = []
+        for k, own in enumerate(batch.column(0).to_pylist()):
+            if own not in seen:
+                keep.append(k)
+                if len(seen) < REMEMBERED:
+                    seen.add(own)
+        yield batch.take(pa.array(keep, pa.int64()))
+
+
 _ROW = "sha binary, header binary, names array<binary>, sizes array<int>, shared array<int>, own binary, lent array<struct<digest:binary,chunk:binary>>"
 
 
@@ -199,17 +226,18 @@ def store(docs: DataFrame) -> Stored:
         .groupBy("sha")
         .agg(F.collect_list(F.struct("seq", "lends")).alias("held"))
     )
-    copies = ids.groupBy("sha").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper")).where("n > 1").select("sha", "keeper")
-    special = materialize(copies.join(held, "sha", "full").withColumn("special", F.lit(True)), "special")
-    if special.count() <= BROADCAST_ROWS:
-        special = F.broadcast(special)
-    kept = (
-        rows.join(special, "sha", "left")
-        .where(F.col("keeper").isNull() | (F.col("doc_id") == F.col("keeper")))
-        .select("sha", "payload", "held")
-    )
+    copies = ids.groupBy("sha").agg(F.count("*").alias("n")).where("n > 1").select("sha")
+    special = materialize(copies.join(held, "sha", "full"), "special")
+    # A filter of fixed size tells the payloads that are alone and share nothing, which are most: they are packed
+    # where they are read. Only the others are shuffled, each copy once from every task.
+    filled = spark.sparkContext.broadcast(build(special.select(F.xxhash64("sha"))))
+    maybe = _maybe(filled)(F.xxhash64("sha"))
+    nothing = F.lit(None).cast("array<struct<seq:int,lends:boolean>>")
+    alone = rows.where(~maybe).select("sha", "payload", nothing.alias("held"))
+    others = rows.where(maybe).select("sha", "payload").mapInArrow(_once, "sha binary, payload binary")
+    kept = others.join(special, "sha", "left").dropDuplicates(["sha"]).select("sha", "payload", "held")
     path = scratch_path(spark, "media")
-    kept.mapInArrow(_packed, _ROW).write.option("compression", "zstd").parquet(path)
+    alone.mapInArrow(_packed, _ROW).union(kept.mapInArrow(_packed, _ROW)).write.option("compression", "zstd").parquet(path)
     media = spark.read.schema(_ROW).parquet(path)
     return Stored(ids, media, media.select(F.explode("lent").alias("c")).select("c.digest", "c.chunk"))
 
