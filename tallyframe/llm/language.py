@@ -105,7 +105,9 @@ def _likelihoods(batches, logs, html: bool):
     """Adds the text's tempered log-likelihoods, the best at zero, and the best language's position."""
     for batch in batches:
         out, vote = [], []
-        for text in batch.column("text").to_pylist():
+        texts = batch.column("text")
+        for i in range(batch.num_rows):  # one at a time: a batch of whole pages is large enough once
+            text = texts[i].as_py()
             text = visible(text) if html and text else text or ""
             total, n = np.zeros(logs.value.shape[1]), 0
             raw = text.encode("utf-8", "replace")
