@@ -238,7 +238,8 @@ def _observed(batches):
 
     seen: Counter = Counter()
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for i in range(batch.num_rows):
+            text = batch.column(0)[i].as_py()
             if not text:
                 continue
             base = base_spans(text)
@@ -278,7 +279,8 @@ def find(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
         for batch in batches:
             counts = np.zeros((BASE, batch.num_rows), dtype=np.int64)
             bases, alls = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i in range(batch.num_rows):
+                text = batch.column(1)[i].as_py()
                 base = base_spans(text) if text else []
                 for _, k, _ in base:
                     counts[k, i] += 1
