@@ -218,26 +218,28 @@ def hexadecimal(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-# Groups by similarity: a long SimHash sketch instead of one fingerprint.
+# Groups by similarity: a long SimHash sketch proposes links, the shingle sets decide them.
 
 #: Words of a sketch; eight make 512 bits.
 SKETCH_WORDS = 8
-PIECE_BITS = 14
+PIECE_BITS = 10
 PIECES = SKETCH_WORDS * 64 // PIECE_BITS
+#: Sets of up to so many shingles meet by their least hashes, where no link is lost, instead of by pieces.
+SHORT = 64
 #: Members of a node that one task compares; larger nodes are compared block by block.
 NODE = 2048
 _MIXERS = (np.arange(1, SKETCH_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def sketch_radius(similarity: float) -> int:
-    """Differing bits that sets of this Jaccard similarity have, and one standard deviation.
+def sketch_radius(similarity: float, bits: int = 64 * SKETCH_WORDS) -> int:
+    """Differing bits of ``bits`` that sets of this Jaccard similarity have, and five standard deviations.
 
     Two sets of equal size at Jaccard similarity s have the cosine 2s / (1 + s); a
-    bit differs with the probability of their angle over pi.
+    bit differs with the probability of their angle over pi. Ties make it up to a
+    quarter more in sets of a few shingles (3/16 for four and five, at 0.8).
     """
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    bits = 64 * SKETCH_WORDS
-    return int(bits * p + np.sqrt(bits * p * (1 - p)))
+    p = 1.25 * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * p + 5 * np.sqrt(bits * p * (1 - p)))
 
 
 def sketch(hashes: np.ndarray, mixers: np.ndarray) -> np.ndarray:
@@ -253,89 +255,138 @@ def sketch(hashes: np.ndarray, mixers: np.ndarray) -> np.ndarray:
     return (counts * 2 > len(hashes)).astype(np.uint8)
 
 
-def sketches(docs: DataFrame, words: int, id_column: str = "doc_id") -> DataFrame:
-    """(id, node, sketch, pieces): node names the sequence of words; equal sequences share one."""
-    mixers, powers = _MIXERS, 1 << np.arange(PIECE_BITS)
+def meeting_pieces(hashes: np.ndarray, bits: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of the nodes of a set with these sorted distinct hashes.
 
-    def run(batches):
-        import xxhash
+    Of two sets at ``similarity`` both are up to SHORT, or both above its share.
+    Short ones share one of their least hashes: more than the others can't differ.
+    """
+    n, out = len(hashes), []
+    if 0 < n <= SHORT:
+        out.append(hashes[: n - int(np.ceil(similarity * n - 1e-9)) + 1].view(np.int64) | np.int64(-1 << 63))
+    if n > int(SHORT * similarity) or not n:
+        pieces = bits[: PIECES * PIECE_BITS].reshape(PIECES, PIECE_BITS).astype(np.int64) @ (1 << np.arange(PIECE_BITS))
+        out.append(pieces + (np.arange(PIECES) << PIECE_BITS))
+    return np.concatenate(out)
+
+
+def _narrow(docs: DataFrame, id_column: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(
+        F.col(id_column).cast("bigint").alias("id"), F.encode(text, "UTF-8").alias("text"), F.xxhash64(text).alias("raw")
+    )
+
+
+def _node(text: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(b" ".join(text.lower().split()))
 
+
+def sketches(docs: DataFrame, words: int, id_column: str = "doc_id", similarity: float = 0.8) -> DataFrame:
+    """(id, raw, node, size, sketch, pieces) of the distinct shingles; node names the sequence of words, equal sequences share one."""
+    mixers = _MIXERS
+
+    def run(batches):
         for batch in batches:
-            out = {"id": batch.column(0).to_pylist(), "node": [], "sketch": [], "pieces": []}
+            out = {"node": [], "size": [], "sketch": [], "pieces": []}
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_buffer().to_pybytes()
-                bits = sketch(shingle_hashes(text, words), mixers)
-                out["node"].append(xxhash.xxh3_64_intdigest(b" ".join(text.lower().split())))
+                hashes = np.unique(shingle_hashes(text, words))
+                bits = sketch(hashes, mixers)
+                out["node"].append(_node(text))
+                out["size"].append(len(hashes))
                 out["sketch"].append(np.packbits(bits, bitorder="little").tobytes())
-                pieces = bits[: PIECES * PIECE_BITS].reshape(PIECES, PIECE_BITS).astype(np.int64) @ powers
-                out["pieces"].append(pieces + (np.arange(PIECES) << PIECE_BITS))
+                out["pieces"].append(meeting_pieces(hashes, bits, similarity))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(np.array(out["node"], dtype=np.uint64).view(np.int64)),
+                    pa.array(out["size"], pa.int32()),
                     pa.array(out["sketch"], pa.binary()),
-                    pa.array(out["pieces"], pa.list_(pa.int32())),
+                    pa.array(out["pieces"], pa.list_(pa.int64())),
                 ],
-                list(out),
+                ["id", "raw", *out],
             )
 
-    narrow = docs.select(
-        F.col(id_column).cast("bigint").alias("id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")
+    return _narrow(docs, id_column).mapInArrow(
+        run, "id bigint, raw bigint, node bigint, size int, sketch binary, pieces array<bigint>"
     )
-    return narrow.mapInArrow(run, "id bigint, node bigint, sketch binary, pieces array<int>")
 
 
-def similar_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows of words that differ in ``radius`` bits at most.
+def similar_pairs(
+    a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray, similarity: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of sketches within the radius whose sets' sizes allow the similarity, and their differing bits.
 
-    Differences are accumulated word by word; a pair is dropped as soon as they
-    pass the radius, or can't be expected to stay below it after the first word.
+    Rows are taken by size. Differences are accumulated word by word; a pair is
+    dropped as soon as they pass the radius, or that of the first two words.
     """
-    left, right = [], []
-    first = 2 * radius // a.shape[1] + 6
+    left, right, bits = [], [], []
+    radius, first = sketch_radius(similarity), sketch_radius(similarity, 128)
+    a_order, b_order = np.argsort(a_sizes, kind="stable"), np.argsort(b_sizes, kind="stable")
+    sorted_sizes = b_sizes[b_order]
     for at in range(0, len(a), 512):
-        part = a[at : at + 512]
-        apart = np.bitwise_count(part[:, None, 0] ^ b[None, :, 0])
+        rows = a_order[at : at + 512]
+        low = np.searchsorted(sorted_sizes, similarity * a_sizes[rows[0]] - 1e-6)
+        high = np.searchsorted(sorted_sizes, a_sizes[rows[-1]] / similarity + 1e-6, side="right")
+        columns = b_order[low:high]
+        part, other = a[rows], b[columns]
+        apart = np.bitwise_count(part[:, None, 0] ^ other[None, :, 0])
+        apart += np.bitwise_count(part[:, None, 1] ^ other[None, :, 1])
         i, j = np.nonzero(apart <= first)
         total = apart[i, j].astype(np.int64)
-        for w in range(1, a.shape[1]):
-            total = total + np.bitwise_count(part[i, w] ^ b[j, w])
+        for w in range(2, a.shape[1]):
+            total = total + np.bitwise_count(part[i, w] ^ other[j, w])
             keep = total <= radius
             i, j, total = i[keep], j[keep], total[keep]
-        left.append(i + at)
-        right.append(j)
-    return np.concatenate(left), np.concatenate(right)
+        small, large = np.minimum(a_sizes[rows[i]], b_sizes[columns[j]]), np.maximum(a_sizes[rows[i]], b_sizes[columns[j]])
+        keep = small >= similarity * large - 1e-6
+        left.append(rows[i[keep]])
+        right.append(columns[j[keep]])
+        bits.append(total[keep])
+    return np.concatenate(left), np.concatenate(right), np.concatenate(bits)
+
 
+def _block_links(batches, similarity: float, nearest: bool):
+    """Rows sorted by (piece, p, q): candidate links between blocks p and q of a node.
 
-def _block_links(batches, radius: int):
-    """Rows sorted by (piece, p, q): a spanning set of the links between blocks p and q of a node."""
+    With ``nearest`` each member gives its link to the nearest member before it,
+    else all its links to members of other roots.
+    """
 
-    def linked(node, block, words):
+    def linked(block, node, root, size, words):
         one = block == block.min()
         a, b = np.flatnonzero(one), np.flatnonzero(~one)
         b = b if len(b) else a
-        i, j = similar_pairs(words[a], words[b], radius)
+        i, j, bits = similar_pairs(words[a], words[b], size[a], size[b], similarity)
         i, j = a[i], b[j]
-        apart = i != j
-        label = spanning(len(node), i[apart], j[apart])
-        hung = np.flatnonzero(label != np.arange(len(node)))
-        return node[hung], node[label[hung]]
+        later = node[i] < node[j]
+        u, v = np.where(later, i, j), np.where(later, j, i)
+        keep = (u != v) & (nearest | (root[u] != root[v]))
+        u, v, bits = u[keep], v[keep], bits[keep]
+        if nearest:
+            order = np.lexsort((node[u], bits, v))
+            order = order[np.r_[True, np.diff(v[order]) != 0]] if len(order) else order
+            u, v = u[order], v[order]
+        return node[u], node[v]
 
     held = None
     for batch in batches:
         key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)], axis=1)
-        block = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
-        node = batch.column(4).to_numpy(zero_copy_only=False)
-        words = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype="<u8").reshape(len(node), -1)
+        rows = [key, *(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3, 7))]
+        rows.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype="<u8").reshape(len(key), -1))
         if held is not None:
-            key, block, node, words = (np.concatenate(x) for x in zip(held, (key, block, node, words), strict=True))
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        key = rows[0]
         cut = np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1
         last = cut[-1] if len(cut) else 0
-        found = [linked(node[x], block[x], words[x]) for x in np.split(np.arange(last), cut[:-1]) if len(x) > 1] if last else []
-        held = tuple(x[last:] for x in (key, block, node, words))
-        yield _edges(found)
+        groups = np.split(np.arange(last), cut[:-1]) if last else []
+        held = [x[last:] for x in rows]
+        yield _edges([linked(*(c[x] for c in rows[1:])) for x in groups if len(x) > 1])
     if held is not None and len(held[0]) > 1:
-        yield _edges([linked(*held[2:3], held[1], held[3])])
+        yield _edges([linked(*held[1:])])
 
 
 def _edges(found) -> pa.RecordBatch:
@@ -343,38 +394,87 @@ def _edges(found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([put(0), put(1)], ["u", "v"])
 
 
+def _shingle_sets(batches, words: int):
+    for batch in batches:
+        texts = [x.as_buffer().to_pybytes() for x in batch.column(0)]
+        node = pa.array(np.array([_node(t) for t in texts], dtype=np.uint64).view(np.int64))
+        sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts]
+        yield pa.RecordBatch.from_arrays([node, pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+
+def _exactly_similar(batches, similarity: float):
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch.column(2), batch.column(3), strict=True):
+            a, b = (x.values.to_numpy(zero_copy_only=False) for x in (a, b))
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
+def verified(links: DataFrame, docs: DataFrame, marked: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The (u, v) whose sets of distinct shingles have the similarity; only texts of linked nodes are read."""
+    ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
+    wanted = marked.join(ends, "node", "left_semi").groupBy("node").agg(F.min("raw").alias("raw")).select("raw")
+    texts = _narrow(docs, docs.columns[0]).join(wanted, "raw", "left_semi").dropDuplicates(["raw"]).select("text")
+    sets = texts.mapInArrow(lambda b: _shingle_sets(b, words), "node bigint, shingles array<bigint>")
+    sets = materialize(sets, "sets")
+    side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"of_{end}"))
+    laid = links.join(side("u"), "u").join(side("v"), "v").select("u", "v", "of_u", "of_v")
+    return laid.mapInArrow(lambda b: _exactly_similar(b, similarity), "u bigint, v bigint")
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id") -> DataFrame:
-    """(id, component): groups of texts whose shingle sets have about ``similarity`` or more.
+    """(id, component): groups of texts linked by a Jaccard similarity of their shingle sets of ``similarity`` or more.
 
     Every piece of a sketch is an upper node, the masked pattern that its members
-    share. Members of a node are compared over the whole sketch. Two texts at
-    Jaccard similarity 0.8 meet in some node with probability 0.98, at 0.9 with 1.00.
+    share. Members of a node are compared over the whole sketch, and candidates by
+    their shingle sets: first every member with its nearest, which joins most
+    groups without all of their pairs, then all pairs still in different groups.
+    Two texts at Jaccard similarity 0.8 meet in some node with probability 0.99998,
+    short ones always.
     """
-    radius = sketch_radius(similarity)
-    marked = materialize(sketches(docs, words, id_column), "sketches")
+    marked = materialize(sketches(docs, words, id_column, similarity), "sketches")
     named = marked.groupBy("node").agg(F.min("id").alias("least"))
     named = materialize(named, "named")
-    distinct = materialize(marked.select("node", "sketch", "pieces").dropDuplicates(["node"]), "distinct")
-    rows = distinct.select("node", "sketch", F.explode("pieces").alias("piece"))
-    large = (
-        rows.groupBy("piece")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > NODE)
-        .select("piece", F.ceil(F.col("n") / NODE).cast("int").alias("blocks"))
-    )
-    large = materialize(large, "large")
-    blocks = F.coalesce("blocks", F.lit(1))
-    dealt = (
-        rows.join(large, "piece", "left")
-        .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("piece", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "sketch")
-    )
-    links = (
-        dealt.repartition("piece", "p", "q")
-        .sortWithinPartitions("piece", "p", "q")
-        .mapInArrow(lambda b: _block_links(b, radius), "u bigint, v bigint")
-    )
+    distinct = marked.select("node", "size", "sketch", "pieces").dropDuplicates(["node"])
+    distinct = materialize(distinct.withColumn("root", F.col("node")), "distinct")
+
+    def candidates(members, nearest):
+        rows = members.select("node", "root", "size", "sketch", F.explode("pieces").alias("piece"))
+        large = (
+            rows.groupBy("piece")
+            .agg(F.count("*").alias("n"))
+            .where(F.col("n") > NODE)
+            .select("piece", F.ceil(F.col("n") / NODE).cast("int").alias("blocks"))
+        )
+        large = materialize(large, "large")
+        blocks = F.coalesce("blocks", F.lit(1))
+        dealt = (
+            rows.join(large, "piece", "left")
+            .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .select(
+                "piece", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
+                "block", "node", "root", "size", "sketch",
+            )
+        )
+        found = (
+            dealt.repartition("piece", "p", "q")
+            .sortWithinPartitions("piece", "p", "q")
+            .mapInArrow(lambda b: _block_links(b, similarity, nearest), "u bigint, v bigint")
+        )
+        return materialize(found.distinct(), "candidates")
+
+    near = candidates(distinct, True)
+    links = materialize(verified(near, docs, marked, words, similarity), "links")
+    roots = components(links).select("node", F.col("root").alias("to"))
+    # Nodes without a nearest one have no candidate at all.
+    ends = near.select(F.col("u").alias("node")).union(near.select("v")).distinct()
+    open_ = distinct.join(ends, "node", "left_semi").join(roots, "node", "left")
+    open_ = materialize(open_.withColumn("root", F.coalesce("to", "root")).drop("to"), "open")
+    rest = candidates(open_, False).join(near, ["u", "v"], "left_anti")
+    links = links.union(materialize(verified(materialize(rest, "rest"), docs, marked, words, similarity), "links"))
     linked = components(links).select(F.col("node"), "root")
     linked = materialize(linked.join(named, "node"), "linked")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))

@@ -141,3 +141,48 @@ def test_keep_one_of_each_group(spark):
     groups = {r["id"]: r["component"] for r in simhash.similar_groups(d).collect()}
     ids = [r["doc_id"] for r in kept.collect()]
     assert len(ids) == len(set(ids)) and sorted(groups[i] for i in ids) == sorted(set(groups.values()))
+
+
+def exact_groups(texts_, similarity=0.8):
+    sets = [word_sets(t) for t in texts_]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] | sets[j])
+            if not both or len(sets[i] & sets[j]) >= similarity * both:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def edge_corpus():
+    """Pairs just at and just below 0.8, repeated lines, and texts of four and five shingles."""
+    rng = random.Random(21)
+    words = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    out = []
+    for _ in range(120):
+        # 180 shingles each, 160 shared: 0.8; then 159 shared: 159 / 201.
+        w = words(164)
+        out += [" ".join(w + words(20)), " ".join(w + words(20))]
+        w = words(163)
+        out += [" ".join(w + words(21)), " ".join(w + words(21))]
+        w = words(9)
+        out += [" ".join(w[:8]), " ".join(w)]
+    for _ in range(10):
+        w, line = words(304), words(12)
+        out += [" ".join(w), " ".join(w + line * 5), " ".join(w + line * 20)]
+    return out
+
+
+@pytest.mark.parametrize("node", [2048, 8])
+def test_similar_groups_equal_exact_jaccard(spark, monkeypatch, node):
+    monkeypatch.setattr(simhash, "NODE", node)
+    texts_ = edge_corpus() + similar_corpus()
+    got = {r["id"]: r["component"] for r in simhash.similar_groups(docs(spark, texts_)).collect()}
+    assert [got[i] for i in range(len(texts_))] == exact_groups(texts_)
