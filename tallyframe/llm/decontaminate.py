@@ -5,7 +5,8 @@ substituted word spoils only the windows that look at it. Hashes of the
 benchmark's windows and of the documents' windows are joined; around every hit
 item and document are laid side by side without gaps, and the pair counts as an
 overlap if ``min_tokens`` aligned tokens in a row (the whole item if it is
-shorter) agree in at least ``similarity`` of their positions.
+shorter) agree in at least ``similarity`` of their positions. However the
+substitutions lie, one window of every overlap is free of them (``masks_of``).
 
 The documents are scanned once. A bitmap of fixed size, filled from the
 benchmark's hashes whatever their number, drops nearly all windows that can't
@@ -13,13 +14,15 @@ join before anything is shuffled; a false hit there only costs a lookup in the
 join. Hits close together become one region, a row with the tokens around them.
 
 Edge cases: null and empty texts, and items without words, overlap nothing;
-items shorter than the masks are searched for whole; repeated rows and equal ids
+shorter items have masks of their own length; repeated rows and equal ids
 give one row; null ids are carried as null; clashing extra columns are not read;
 empty tables on either side give an empty result.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,9 +32,8 @@ from .bitmap import build, mix, passing
 from ..storage import materialize
 from .tokens import pieces, token_hashes
 
-# Windows of 12 tokens of which seven count.
-MASKS = ("110100110101", "101110010011", "111001101001", "100110110101")
-SPAN = len(MASKS[0])
+#: Tokens of the longest mask for MIN_TOKENS and SIMILARITY.
+SPAN = 12
 #: Tokens kept on either side of a hit.
 CONTEXT = 64
 MIN_TOKENS = 13
@@ -55,9 +57,30 @@ def window_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
         return mix(out)
 
 
-def _masks_for(lengths: list[int]) -> list[str]:
-    """The fixed masks, and one of ones for each length below theirs that an item has."""
-    return [*MASKS, *("1" * n for n in sorted({n for n in lengths if 0 < n < SPAN}))]
+def masks_of(need: int, similarity: float) -> list[str]:
+    """Masks one of which, at some place, misses all substitutions that ``need`` tokens may have.
+
+    Of m + 2 runs of tokens, m substitutions leave two whole, at a distance of 1 to
+    m + 1 runs. Where the runs would be shorter than three tokens, the tokens are
+    cut into blocks, and each mask leaves out another choice of m blocks.
+    """
+    m = need - max(1, int(np.ceil(similarity * need - 1e-9)))
+    if not m:
+        return ["1" * need]
+    run = need // (m + 2)
+    if run >= 3:
+        return ["1" * run + "0" * (run * gap) + "1" * run for gap in range(m + 1)]
+    blocks = np.array_split(np.arange(need), need if m == 1 else min(need, m + 3))
+    out = []
+    for left in combinations(blocks, m):
+        spoilt = set(np.concatenate(left).tolist())
+        out.append("".join("0" if k in spoilt else "1" for k in range(need)))
+    return out
+
+
+def _masks_for(lengths: list[int], min_tokens: int, similarity: float) -> list[tuple[int, str]]:
+    """(need, mask) for each number of tokens in a row that an item of these lengths needs."""
+    return [(need, mask) for need in sorted({min(n, min_tokens) for n in lengths if n > 0}) for mask in masks_of(need, similarity)]
 
 
 def _token_rows(batches):
@@ -68,13 +91,13 @@ def _token_rows(batches):
             yield pa.RecordBatch.from_arrays([piece.column(0), lists], ["item_id", "tokens"])
 
 
-def _item_hashes(batches, masks):
+def _item_hashes(batches, masks, min_tokens):
     for batch in batches:
         out = {"mask": [], "hash": [], "item_id": [], "at": []}
         for item, tokens in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             own = tokens.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            for m, mask in enumerate(masks):
-                if (len(own) < SPAN and mask != "1" * len(own)) or (len(own) >= SPAN and len(mask) < SPAN):
+            for m, (need, mask) in enumerate(masks):
+                if need != min(len(own), min_tokens):
                     continue
                 hashes = window_hashes(own, mask)
                 out["mask"] += [m] * len(hashes)
@@ -94,8 +117,8 @@ def _regions(batches, filled, masks):
     for batch in batches:
         for piece in pieces(batch, 1):
             tokens, offsets = token_hashes(piece.column(1))
-            found = []
-            for m, mask in enumerate(masks):
+            found = [np.empty((4, 0), np.int64)]
+            for m, (_, mask) in enumerate(masks):
                 hashes = window_hashes(tokens, mask)
                 at = passing(filled.value, hashes)
                 row = np.searchsorted(offsets, at, side="right") - 1
@@ -171,10 +194,10 @@ def overlaps(
         ),
         "items",
     )
-    short = items.select(F.size("tokens").alias("n")).where(f"n < {SPAN}").distinct()
-    masks = _masks_for([r["n"] for r in short.collect()])
+    needs = items.select(F.least(F.size("tokens"), F.lit(min_tokens)).alias("n")).distinct()
+    masks = _masks_for([r["n"] for r in needs.collect()], min_tokens, similarity)
     hashes = materialize(
-        items.mapInArrow(lambda b: _item_hashes(b, masks), "mask int, hash bigint, item_id bigint, at int"), "hashes"
+        items.mapInArrow(lambda b: _item_hashes(b, masks, min_tokens), "mask int, hash bigint, item_id bigint, at int"), "hashes"
     )
     filled = spark.sparkContext.broadcast(build(hashes.select("hash")))
     regions = materialize(

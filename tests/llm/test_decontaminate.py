@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import pytest
 
@@ -74,3 +75,28 @@ def test_keep_clean_drops_overlaps_only(spark):
     kept = dc.keep_clean(d, bench(spark))
     assert kept.columns == d.columns
     assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {x for x, _ in brute(texts[:-1])} - {len(texts) - 1}
+
+
+def allowed(n):
+    return next(m for m in range(n, -1, -1) if n - m >= 0.8 * n - 1e-9)
+
+
+@pytest.mark.parametrize("n", range(1, 14))
+def test_masks_miss_every_placement(n):
+    masks = [[k for k, bit in enumerate(m) if bit == "1"] + [len(m) - 1] for m in dc.masks_of(n, dc.SIMILARITY)]
+    for spoilt in combinations(range(n), allowed(n)):
+        assert any(not {at + k for k in m[:-1]} & set(spoilt) for m in masks for at in range(n - m[-1]))
+
+
+def test_every_placement_of_substitutions_is_found(spark):
+    items = [words(n) for n in (20, 13, 12, 11, 10, 9, 7, 5)]
+    texts, want = [], set()
+    for k, item in enumerate(items):
+        n = min(13, len(item))
+        for spoilt in combinations(range(n), allowed(n)):
+            # Of the longest item only the first 13 tokens stand in the text.
+            part = [f"other{i}" if i in spoilt else w for i, w in enumerate(item[:n])]
+            want.add((len(texts), k))
+            texts.append(" ".join(words(20) + part + words(20)))
+    got = {(r["doc_id"], r["item_id"]) for r in dc.overlaps(docs(spark, texts), bench(spark, items)).collect()}
+    assert want <= got and got == brute(texts, items)
