@@ -77,8 +77,39 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
-def test_drawn_keeps_columns(spark):
+def test_drawn_is_the_mixed_corpus(spark):
     d = corpus(spark)
     got = mixing.drawn(d.withColumn("size", F.lit("clash")), shard_words=3000)
-    assert got.columns == [*d.columns, "size", "source_size", "target", "taken", "draws"]
-    assert got.count() == mixing.mix(d).where("taken > 0").count()
+    assert got.columns == [*d.columns, *mixing.OWN]
+    rows = got.collect()
+    want = {r["doc_id"]: r for r in mixing.mix(d, shard_words=3000).collect()}
+    text = {r["doc_id"]: r["text"] for r in d.collect()}
+    seen = {}
+    for r in rows:
+        seen.setdefault(r["doc_id"], []).append((r["pass"], r["taken"], r["shard"]))
+        assert len(r["text"].split()) == r["taken"] and text[r["doc_id"]].startswith(r["text"])
+        assert r["n_chars"] == len(r["text"])
+    assert {k: sorted(v) for k, v in seen.items()} == {k: sorted((x["pass"], x["words"], x["shard"]) for x in r["draws"]) for k, r in want.items() if r["draws"]}
+    # Shards follow one another, and within one the order is not that of the ids.
+    order = [r["shard"] for r in rows]
+    assert order == sorted(order)
+    first = [r["doc_id"] for r in rows if r["shard"] == order[0]]
+    assert first != sorted(first)
+
+
+def test_several_shards_without_options(spark):
+    rows = mixing.mix(corpus(spark)).collect()
+    assert {x["shard"] for r in rows for x in r["draws"]} == set(range(mixing.MIN_SHARDS))
+
+
+def test_cut_among_many_equal_places(spark, monkeypatch):
+    """Prefixes of three bits a round, and rows equal in id and text at the cut."""
+    monkeypatch.setattr(mixing, "STEP_BITS", 3)
+    d = corpus(spark, 200)
+    assert sorted(map(str, mixing.mix(d).collect())) == sorted(map(str, mixing.mix(d.repartition(3)).collect()))
+    one = docs(spark, ["w " * 10, "x " * 20, "y " * 5]).withColumn("source", F.col("text").substr(1, 1))
+    same = one.union(one).union(one)
+    totals = {r["source_size"]: r["taken"] for r in mixing.mix(same).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()}
+    targets = mixing.targets([30, 60, 15])
+    # At most as many words are missing as rows are equal.
+    assert all(0 <= t - totals[n] < 3 for n, t in zip((30, 60, 15), targets))

@@ -66,7 +66,7 @@ def keys(df):
 def test_columns_stay_until_the_last(staged):
     for df in staged[1:-1]:
         assert df.columns == staged[0].columns
-    assert staged[-1].columns == [*staged[0].columns, "size", "source_size", "target", "taken", "draws"]
+    assert staged[-1].columns == [*staged[0].columns, *mixing.OWN]
 
 
 def test_quality(spark, sf, staged):
