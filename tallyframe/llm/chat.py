@@ -1,19 +1,25 @@
 """Chat formatting by a finite-state machine, in DataFrame functions only.
 
 A declarative :class:`Template` says which roles may open a conversation and
-follow one another, which text marks a turn, and whose text carries loss.
-``format_chats`` gathers the turns of a conversation in order, runs the role
-machine over them, and lays out one row per conversation: the formatted text and
-its text segments with loss flags and code-point offsets. ``read_chats`` parses
-that output back, using only the formatted text and the loss mask.
+follow one another, which text marks a turn, and whose text carries loss. From it
+comes one table of the machine: for every role the state that follows each state,
+and whether the turn emitted on that transition carries loss. ``format_chats``
+gathers the turns of a conversation in order, runs the machine over them, and
+lays out one row per conversation: the formatted text and its text segments with
+the loss flags that the machine emitted and code-point offsets. ``read_chats``
+parses that output back, using only the formatted text and the loss mask.
+
+A turn is a map from states to states, and maps compose; so states, like offsets,
+are running results that take n log n steps for n turns.
 
 Edge cases: null role or text counts as empty; rows with a null ``conv_id`` form
 one conversation; a null turn comes first; equal turns are ordered by role, then
 text, so reruns agree; repeated rows are repeated turns; a turn order that the
-machine refuses is formatted all the same with ``valid`` false and the position
-of the first refused turn. Columns beside the four are ignored. An empty table
-gives an empty result. A conversation is one output row, so its turns meet in one
-task by definition.
+machine refuses leads to the state ``refused``, which is never left and emits the
+same loss flags: the conversation is formatted all the same, with ``valid`` false
+and the position of the first refused turn. Columns beside the four are ignored.
+An empty table gives an empty result. A conversation is one output row, so its
+turns meet in one task by definition.
 """
 
 from __future__ import annotations
@@ -24,6 +30,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .native import add, chunks, cut, let, running
+
 
 @dataclass(frozen=True)
 class Template:
@@ -70,12 +78,26 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.array_join(parts, "\\"))
 
 
-def _next_state(template: Template, state: Column, role: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(""))
-    for at, roles in template.next_roles.items():
-        for name, to in roles.items():
-            out = out.when((state == at) & (role == name), F.lit(to))
-    return out.otherwise(F.lit(REFUSED))
+def machine(template: Template) -> tuple[list[str], dict[str, list[int]], list[int], dict[str, list[bool]], list[bool]]:
+    """(states, next state and loss by role and state, and both for any other role).
+
+    The first state is the start, the last one ``refused``.
+    """
+    named = [*template.next_roles, *(to for roles in template.next_roles.values() for to in roles.values())]
+    states = [template.start, *(s for s in dict.fromkeys(named) if s != template.start), REFUSED]
+    place = {s: i for i, s in enumerate(states)}
+    roles = sorted({*template.loss_roles, *(r for known in template.next_roles.values() for r in known)})
+    refused = place[REFUSED]
+    after = {r: [place.get(template.next_roles.get(s, {}).get(r), refused) for s in states] for r in roles}
+    emits = {r: [r in template.loss_roles] * len(states) for r in roles}
+    return states, after, [refused] * len(states), emits, [False] * len(states)
+
+
+def _table(role: Column, rows: dict[str, list], other: list) -> Column:
+    out = F.when(F.lit(False), F.array(*map(F.lit, other)))
+    for name, row in rows.items():
+        out = out.when(role == name, F.array(*map(F.lit, row)))
+    return out.otherwise(F.array(*map(F.lit, other)))
 
 
 def format_chats(turns: DataFrame, template: Template = CHATML) -> DataFrame:
@@ -93,52 +115,42 @@ def format_chats(turns: DataFrame, template: Template = CHATML) -> DataFrame:
         ).alias("t"),
     )
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    laid = F.transform(
+    states, after, else_after, emits, else_emits = machine(template)
+    refused = len(states) - 1
+    # Composed from the left, a turn's map says where each state has come to.
+    then = lambda first, second: F.transform(first, lambda state: F.get(second, state))
+    reached = running(F.transform("turns", lambda t: _table(t.role, after, else_after)), then)
+    laid = lambda reached: F.transform(
         "turns",
-        lambda t: F.struct(
+        lambda t, i: F.struct(
             F.concat(F.lit(template.open_mark), escape_role(t.role), F.lit(template.role_end)).alias("head"),
             escape(t.text).alias("body"),
             F.lit(template.close_mark + template.turn_end).alias("tail"),
-            t.role.isin(*template.loss_roles).alias("loss"),
+            F.get(_table(t.role, emits, else_emits), F.when(i > 0, F.get(F.get(reached, i - 1), F.lit(0))).otherwise(0)).alias("loss"),
+            F.get(F.get(reached, i), F.lit(0)).alias("state"),
         ),
     )
-    empty = F.array().cast("array<struct<start:bigint,length:bigint,loss:boolean>>")
-    place = F.aggregate(
-        "laid",
-        F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("segments")),
-        lambda acc, s: F.struct(
-            (acc.at + F.char_length(s["head"]) + F.char_length(s["body"]) + F.char_length(s["tail"])).cast("bigint").alias("at"),
-            F.concat(
-                acc.segments,
-                F.array(
-                    F.struct(
-                        (acc.at + F.char_length(s["head"])).cast("bigint").alias("start"),
-                        F.char_length(s["body"]).cast("bigint").alias("length"),
-                        s["loss"].alias("loss"),
-                    )
-                ),
-            ).alias("segments"),
-        ),
-    ).segments
-    machine = F.aggregate(
-        "turns",
-        F.struct(F.lit(template.start).alias("state"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("refused_at")),
-        lambda acc, t: F.struct(
-            _next_state(template, acc.state, t.role).alias("state"),
-            (acc["at"] + 1).alias("at"),
-            F.coalesce(
-                acc.refused_at, F.when(_next_state(template, acc.state, t.role) == REFUSED, acc["at"])
-            ).alias("refused_at"),
+    size = lambda s: F.char_length(s["head"]) + F.char_length(s["body"]) + F.char_length(s["tail"])
+    segments = let(
+        running(F.transform("laid", lambda s: size(s).cast("bigint")), add),
+        lambda ends: F.transform(
+            "laid",
+            lambda s, i: F.struct(
+                (F.get(ends, i) - size(s) + F.char_length(s["head"])).alias("start"),
+                F.char_length(s["body"]).cast("bigint").alias("length"),
+                s["loss"].alias("loss"),
+            ),
         ),
     )
+    first = F.array_position(F.transform("laid", lambda s: s["state"]), F.lit(refused)).cast("int")
     return (
-        chats.withColumn("laid", laid)
+        chats.withColumn("laid", let(reached, laid))
         .select(
             "conv_id",
             F.size("turns").cast("bigint").alias("n_turns"),
-            machine.refused_at.alias("refused_at"),
+            F.when(first > 0, first - 1).alias("refused_at"),
             F.array_join(F.transform("laid", lambda s: F.concat(s["head"], s["body"], s["tail"])), "").alias("formatted"),
-            place.alias("segments"),
+            segments.alias("segments"),
         )
         .withColumn("valid", F.col("refused_at").isNull())
     )
@@ -164,9 +176,9 @@ def read_chats(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
             ).alias("text"),
         ),
     )
-    under_loss = F.transform(
-        F.filter("segments", lambda s: s.loss),
-        lambda s: unescape(F.substr(F.col("formatted"), (s.start + 1).cast("int"), s.length.cast("int"))),
+    under_loss = let(
+        chunks(F.col("formatted")),
+        lambda parts: F.transform(F.filter("segments", lambda s: s.loss), lambda s: unescape(cut(parts, s.start, s.length))),
     )
     return formatted.withColumn("pieces", pieces).select(
         "conv_id", "formatted", "valid", "refused_at", turns.alias("turns"), F.array_join(under_loss, "").alias("loss_text")

@@ -96,6 +96,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("loss_text").cast("bigint").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("bigint").alias("formatted_chars"),
+        "valid",
+        "refused_at",
     )
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -45,6 +46,40 @@ def test_very_long_conversation(spark):
     assert hashlib.sha256(got["loss_text"].encode()).hexdigest() == hashlib.sha256(("ab " * 2000 * 200).encode()).hexdigest()
 
 
+def walked(template, roles):
+    """States by walking the machine turn by turn: (loss flags, position of the first refused turn)."""
+    state, flags, refused = template.start, [], None
+    for i, role in enumerate(roles):
+        state = template.next_roles.get(state, {}).get(role, chat.REFUSED)
+        flags.append(role in template.loss_roles)
+        refused = i if state == chat.REFUSED and refused is None else refused
+    return flags, refused
+
+
+def test_machine_equals_a_walk(spark):
+    rng = random.Random(5)
+    other = chat.Template(
+        open_mark="[", close_mark="]", loss_roles=("tool", "assistant"), start="a",
+        next_roles={"a": {"user": "b"}, "b": {"tool": "b", "assistant": "a"}},
+    )
+    for template in (chat.CHATML, other):
+        chats = [[rng.choice(["user", "assistant", "user", "assistant", "system", "tool", ""]) for _ in range(rng.randrange(1, 9))] for _ in range(60)]
+        chats += [["user", "assistant"] * 40, ["system", "user", "assistant", "user", "assistant"], ["user", "tool", "tool", "assistant", "user"]]
+        rows = [(c, i, r, f"text {i}") for c, roles in enumerate(chats) for i, r in enumerate(roles)]
+        got = {r["conv_id"]: r for r in chat.format_chats(frame(spark, rows), template).collect()}
+        for c, roles in enumerate(chats):
+            flags, refused = walked(template, roles)
+            assert [s["loss"] for s in got[c]["segments"]] == flags and got[c]["refused_at"] == refused
+            assert got[c]["valid"] == (refused is None)
+            assert all(got[c]["formatted"][s["start"] :][: s["length"]] == f"text {i}" for i, s in enumerate(got[c]["segments"]))
+
+
+def test_very_many_turns(spark):
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"say {i} é") for i in range(50_000)]
+    got = back(spark, rows)[1]
+    assert got["valid"] and len(got["turns"]) == 50_000 and got["loss_text"] == "".join(r[3] for r in rows[1::2])
+
+
 def test_empty_table(spark):
     assert back(spark, []) == {}
 
