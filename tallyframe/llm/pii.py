@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 KINDS = ("email", "ip", "card", "phone", "address", "number")
 BASE = 4
 THRESHOLD = 0.9
@@ -117,14 +119,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Wider spans that overlap no base span, then each other's earlier."""
+    """Wider spans that overlap no base span, then each other's earlier; ``base`` is in order."""
     found = [(m.start(), 5, m.end()) for m in _NUMBER.finditer(text)]
     if "(" in text or "[" in text:
-        found += [(m.start(), 4, m.end()) for m in _ADDRESS.finditer(text)]
-    out, taken = [], sorted((a, b) for a, _, b in base)
-    for a, k, b in sorted(found):
-        if not any(x < b and a < y for x, y in taken) and (not out or out[-1][2] <= a):
+        found = sorted(found + [(m.start(), 4, m.end()) for m in _ADDRESS.finditer(text)])
+    # One pass over both: how far the base spans reach that begin before a candidate's end.
+    out, at, reach, last = [], 0, 0, 0
+    for a, k, b in found:
+        while at < len(base) and base[at][0] < b:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= a and last <= a:
             out.append((a, k, b))
+            last = b
     return out
 
 
@@ -137,8 +144,8 @@ def votes(text: str, span: tuple[int, int, int]) -> tuple[int, ...]:
     shape = 1
     if kind in (2, 3, 5):
         shape = 0 if _SHAPES_AGAINST.fullmatch(value) else 2 if _SHAPES_FOR.search(value) else 1
-    elif kind == 4:
-        shape = 2
+    elif kind in (0, 4):
+        shape = 2 if _LABELS.split(value.lower())[-1][-1:].isalpha() else 0
     check = 1
     if kind in (2, 5) and 13 <= len(digits) <= 19:
         check = 2 if luhn(digits) else 0
@@ -185,12 +192,17 @@ def one_hot(features, vote) -> np.ndarray:
 FAMILY = (0, 1, 2, 2, 0, 2)
 
 
+BELIEF = 20.0
+
+
 def estimate(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray | None = None, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
     """(posterior of each pattern, table[class, labeler, vote], prior) by expectation-maximisation.
 
-    It starts from labelers that are right four times in five and keeps a tenth
-    of the candidates' weight on that belief, so that labelers that hardly vote
-    stay sane. Patterns of ``known`` are of the class whatever the votes.
+    It starts from labelers that are right six times in seven when they vote, and
+    counts that belief as ``BELIEF`` candidates of either class, whatever their
+    number: labelers that hardly vote stay sane, and the rest is estimated.
+    Patterns of ``known`` are of the class whatever the votes. The first labeler, the
+    strict pattern, only ever knows what is known, so its silence is no evidence.
     """
     known = np.zeros(len(counts), dtype=bool) if known is None else known
     belief = np.empty((2, LABELERS, 3))
@@ -199,12 +211,14 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray | None
     belief[:, 0] = [[0.05, 0.9, 0.05], [0.01, 0.45, 0.54]]
     table, prior = belief.copy(), 0.5
     post = np.full(len(counts), prior)
+    heard = np.ones(patterns.shape, dtype=bool)
+    heard[:, 0] = patterns[:, 0] != 1
     for _ in range(rounds):
-        logs = np.log(np.array([1 - prior, prior]))[:, None] + sum(np.log(table[:, k, patterns[:, k]]) for k in range(LABELERS))
+        logs = np.log(np.array([1 - prior, prior]))[:, None] + sum(heard[:, k] * np.log(table[:, k, patterns[:, k]]) for k in range(LABELERS))
         new = np.where(known, 1.0, 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50))))
         for c, weight in ((1, counts * new), (0, counts * (1 - new))):
             for k in range(LABELERS):
-                got = np.bincount(patterns[:, k], weights=weight, minlength=3) + (10 + 0.1 * weight.sum()) * belief[c, k]
+                got = np.bincount(patterns[:, k], weights=weight, minlength=3) + BELIEF * belief[c, k]
                 table[c, k] = got / got.sum()
         prior = float(np.clip((counts @ new + 5) / (counts.sum() + 10), 1e-4, 1 - 1e-4))
         if np.abs(new - post).max() < 1e-6:
@@ -233,27 +247,37 @@ class Model:
     """By family: votes given the class, and how often the class holds."""
 
 
-def _observed(batches):
-    from collections import Counter
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+OBSERVED = (
+    "doc_id bigint, base array<struct<start:int,kind:int,end:int>>, more array<struct<start:int,kind:int,end:int>>, patterns array<array<int>>"
+)
+
 
-    seen: Counter = Counter()
+def _observed(batches):
     for batch in batches:
+        bases, others, patterns = [], [], []
         for i in range(batch.num_rows):
-            text = batch.column(0)[i].as_py()
-            if not text:
-                continue
+            text = batch.column(1)[i].as_py() or ""
             base = base_spans(text)
-            for s in [*base, *candidates(text, base)]:
-                seen[votes(text, s) + span_features(text, s)] += 1
-    keys = list(seen)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([list(k) for k in keys], pa.list_(pa.int32())), pa.array([seen[k] for k in keys], pa.int64())], ["pattern", "n"]
-    )
+            more = candidates(text, base)
+            bases.append(base)
+            others.append(more)
+            patterns.append([votes(text, s) + span_features(text, s) for s in (*base, *more)])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(bases, _SPANS), pa.array(others, _SPANS), pa.array(patterns, pa.list_(pa.list_(pa.int32())))],
+            ["doc_id", "base", "more", "patterns"],
+        )
 
 
-def train(docs: DataFrame) -> Model | None:
-    """A model of all documents' candidates; None if there are none."""
-    found = docs.select("text").mapInArrow(_observed, "pattern array<int>, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
+def observe(docs: DataFrame) -> DataFrame:
+    """Base spans, candidates, and the votes and features of both, from one pass over the texts; a written table."""
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return materialize(narrow.mapInArrow(_observed, OBSERVED), "observed")
+
+
+def fitted(observed: DataFrame) -> Model | None:
+    """A model of all observed candidates; None if there are none."""
+    found = observed.select(F.explode("patterns").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
     rows = sorted((tuple(r["pattern"]), r["n"]) for r in found.collect())
     if not rows:
         return None
@@ -268,7 +292,7 @@ def train(docs: DataFrame) -> Model | None:
     return Model(fit(x, post, counts), reliabilities)
 
 
-def find(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+def decided(observed: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base and spans (kind:start:end, comma-joined)."""
     weights = None if model is None else model.weights
 
@@ -276,20 +300,24 @@ def find(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
         return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
     def run(batches):
+        known: dict = {}
+
+        def added(pattern):
+            key = tuple(pattern)
+            if key not in known:
+                known[key] = 1 / (1 + np.exp(-np.clip(one_hot(key[LABELERS:], key) @ weights, -30, 30))) >= threshold
+            return known[key]
+
         for batch in batches:
             counts = np.zeros((BASE, batch.num_rows), dtype=np.int64)
             bases, alls = [], []
-            for i in range(batch.num_rows):
-                text = batch.column(1)[i].as_py()
-                base = base_spans(text) if text else []
+            for i, (base, more, patterns) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                base, more = ([(s["start"], s["kind"], s["end"]) for s in spans] for spans in (base, more))
                 for _, k, _ in base:
                     counts[k, i] += 1
-                more = []
-                if text and weights is not None:
-                    for s in candidates(text, base):
-                        z = float(one_hot(span_features(text, s), votes(text, s)) @ weights)
-                        if 1 / (1 + np.exp(-np.clip(z, -30, 30))) >= threshold:
-                            more.append(s)
+                if weights is None:
+                    more = []
+                more = [s for s, p in zip(more, patterns[len(base) :], strict=False) if added(p)]
                 bases.append(joined(base))
                 alls.append(joined(sorted([*base, *more])))
             yield pa.RecordBatch.from_arrays(
@@ -297,6 +325,22 @@ def find(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
                 ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "spans"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
+    return observed.mapInArrow(
         run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, spans string"
     )
+
+
+def train(docs: DataFrame) -> Model | None:
+    """A model of all documents' candidates; None if there are none."""
+    return fitted(observe(docs))
+
+
+def find(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """Spans of ``docs`` under a model, as :func:`decided` returns them."""
+    return decided(observe(docs), model, threshold)
+
+
+def detect(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Spans of ``docs`` under a model of its own candidates; the texts are read once."""
+    observed = observe(docs)
+    return decided(observed, fitted(observed), threshold)
