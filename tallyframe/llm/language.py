@@ -35,15 +35,35 @@ EFFECTIVE = 60.0
 MAX_LANGUAGES = 256
 PSEUDO = 20.0
 
-_HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.DOTALL | re.IGNORECASE)
-_TAG = re.compile(r"<[^>]*>")
+_OPENING = re.compile(r"<(?:(!--)|(script|style)\b)?", re.IGNORECASE)
+_CLOSING = {"!--": re.compile("-->"), **{k: re.compile(rf"</{k}\s*>", re.IGNORECASE) for k in ("script", "style")}}
 _ENTITY = re.compile(r"&[#A-Za-z0-9]{1,10};")
-_DECLARED = r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})(?![a-z])"
+# Attributes of the first <html> tag, and the language among them.
+_ROOT = r"(?is)^.*?<html\b([^<>]*+)"
+_DECLARED = r"(?i)\blang\s*=\s*[\"']?([a-z]{2,3})(?![a-z])"
 
 
 def visible(html: str) -> str:
-    """Text of a page without markup, scripts and styles."""
-    return _ENTITY.sub(" ", _TAG.sub(" ", _HIDDEN.sub(" ", html)))
+    """Text of a page without markup, scripts, styles and comments, in one pass.
+
+    A script, style or comment without its end is a tag; a sign < that no > follows is text.
+    """
+    out, at, endless = [], 0, set()
+    while m := _OPENING.search(html, at):
+        kind, end = (m[1] or m[2] or "").lower(), 0
+        # An end that isn't found once isn't found later either, so it's not looked for again.
+        if kind and kind not in endless:
+            if closing := _CLOSING[kind].search(html, m.end()):
+                end = closing.end()
+            else:
+                endless.add(kind)
+        end = end or html.find(">", m.start()) + 1
+        if not end:
+            break
+        out.append(html[at : m.start()])
+        at = end
+    out.append(html[at:])
+    return _ENTITY.sub(" ", " ".join(out))
 
 
 def trigram_slots(text: bytes) -> np.ndarray:
@@ -197,7 +217,8 @@ def identify(rows: DataFrame, model: Model, html: bool, carried: list[str]) -> D
 def of_pages(pages: DataFrame, model: Model) -> DataFrame:
     """page_id, lang, confidence, text_lang, declared."""
     host, domain, suffix = address(F.col("url"))
-    declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), _DECLARED, 1))
+    root = F.regexp_extract(F.coalesce("html", F.lit("")), _ROOT, 1)
+    declared = F.lower(F.regexp_extract(root, _DECLARED, 1))
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"),
         host.alias("host"),

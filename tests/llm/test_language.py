@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +79,42 @@ def test_nothing_known_and_empty_tables(spark):
     assert {r["lang"] for r in language.of_documents(docs(spark, ["a", None]), nothing).collect()} == {None}
     model = language.train(training(spark))
     assert language.of_pages(pages(spark).limit(0), model).count() == 0
+
+
+def test_markup_ends_where_it_should():
+    assert language.visible("a<b>c</b>d").split() == ["a", "c", "d"]
+    assert language.visible("x<script>var a = '<b>';</script >y<style>p{}</STYLE>z<!-- <p> -->w").split() == ["x", "y", "z", "w"]
+    assert language.visible("a < b").split() == ["a", "<", "b"]
+    assert language.visible("a <!-- open <p>b").split() == ["a", "b"]
+    assert language.visible("a <script>b").split() == ["a", "b"] and language.visible("&amp;a&nbsp;").split() == ["a"]
+    assert language.visible("<scripted>t</scripted>") .split() == ["t"] and language.visible("") == ""
+
+
+@pytest.mark.parametrize("piece", ["<", "<script ", "<!--", "<script>", "</script", "<style x", "<html ", "-->", "<a>", "&", "lang ="])
+def test_five_megabytes_of_markup_end_soon(piece):
+    page = piece * (5_000_000 // len(piece))
+    start = time.time()
+    language.visible(page)
+    language.visible(page + "<p>" + page)
+    assert time.time() - start < 25
+
+
+def test_very_long_pages_and_clashing_columns(spark):
+    model = language.train(training(spark))
+    rows = [(i, f"http://h.site{i}.de/", piece * (2_000_000 // len(piece)) + '<html lang="de">', "c", 1) for i, piece in enumerate(["<html ", "<!--", "lang ", "<script "])]
+    rows.append((9, "http://h.x.de/", "<p>und</p>" * 10 + "<HTML class='x' LANG = 'fr-FR'><html lang=en>", "c", 1))
+    start = time.time()
+    got = {r["page_id"]: r["declared"] for r in language.of_pages(spark.createDataFrame(rows, PAGE).withColumn("domain", F.lit(1)), model).collect()}
+    # The first tag decides; one that never ends has the language it holds.
+    assert got[9] == "fr" and got[1] == "de" and got[2] == "de"
+    assert time.time() - start < 120
+
+
+def test_accuracy_on_rows_left_out(spark):
+    sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    model = language.train(sf.where(~out))
+    held = sf.where(out & F.col("lang").isNotNull()).withColumn("source", F.lit(None).cast("string"))
+    got = language.of_documents(held, model).join(held.select("doc_id", F.col("lang").alias("truth")), "doc_id").where("text_lang is not null")
+    n = got.count()
+    assert n > 100 and got.where("text_lang = truth").count() >= 0.9 * n
