@@ -11,7 +11,8 @@ substitutions lie, one window of every overlap is free of them (``masks_of``).
 The documents are scanned once. A bitmap of fixed size, filled from the
 benchmark's hashes whatever their number, drops nearly all windows that can't
 join before anything is shuffled; a false hit there only costs a lookup in the
-join. Hits close together become one region, a row with the tokens around them.
+join. Hits close together become one region, a row with the tokens around them,
+as far as the longest item reaches, so that an alignment is counted whole.
 
 Edge cases: null and empty texts, and items without words, overlap nothing;
 shorter items have masks of their own length; repeated rows and equal ids
@@ -32,10 +33,6 @@ from .bitmap import build, mix, passing
 from ..storage import materialize
 from .tokens import pieces, token_hashes
 
-#: Tokens of the longest mask for MIN_TOKENS and SIMILARITY.
-SPAN = 12
-#: Tokens kept on either side of a hit.
-CONTEXT = 64
 MIN_TOKENS = 13
 SIMILARITY = 0.8
 
@@ -109,8 +106,8 @@ def _item_hashes(batches, masks, min_tokens):
         )
 
 
-def _regions(batches, filled, masks):
-    """Rows of (doc_id, tokens, hits) around the windows that pass the filter."""
+def _regions(batches, filled, masks, reach):
+    """Rows of (doc_id, tokens, hits) around the windows that pass the filter, ``reach`` tokens to either side."""
     import xxhash
 
     kind = pa.list_(pa.struct([("mask", pa.int32()), ("hash", pa.int64()), ("at", pa.int32())]))
@@ -127,14 +124,14 @@ def _regions(batches, filled, masks):
             at, which, row, hashes = np.concatenate(found, axis=1)
             order = np.argsort(at, kind="stable")
             at, which, row, hashes = at[order], which[order], row[order], hashes[order]
-            cut = np.flatnonzero((np.diff(at) > 2 * CONTEXT) | (np.diff(row) != 0)) + 1
+            cut = np.flatnonzero((np.diff(at) > 2 * reach) | (np.diff(row) != 0)) + 1
             ids, regions, toks, hits = piece.column(0), [], [], []
             for part in np.split(np.arange(len(at)), cut):
                 if not len(part):
                     continue
                 r = row[part[0]]
-                first = max(offsets[r], at[part[0]] - CONTEXT)
-                last = min(offsets[r + 1], at[part[-1]] + SPAN + CONTEXT)
+                first = max(offsets[r], at[part[0]] - reach)
+                last = min(offsets[r + 1], at[part[-1]] + reach)
                 own = tokens[first:last]
                 regions.append((ids[int(r)].as_py(), int(first - offsets[r])))
                 toks.append(own.view(np.int64))
@@ -194,15 +191,17 @@ def overlaps(
         ),
         "items",
     )
-    needs = items.select(F.least(F.size("tokens"), F.lit(min_tokens)).alias("n")).distinct()
-    masks = _masks_for([r["n"] for r in needs.collect()], min_tokens, similarity)
+    # No alignment reaches further from a hit than the longest item is.
+    needs = items.groupBy(F.least(F.size("tokens"), F.lit(min_tokens)).alias("n")).agg(F.max(F.size("tokens")).alias("longest")).collect()
+    masks = _masks_for([r["n"] for r in needs], min_tokens, similarity)
+    reach = max((r["longest"] for r in needs), default=0)
     hashes = materialize(
         items.mapInArrow(lambda b: _item_hashes(b, masks, min_tokens), "mask int, hash bigint, item_id bigint, at int"), "hashes"
     )
     filled = spark.sparkContext.broadcast(build(hashes.select("hash")))
     regions = materialize(
         docs.select(F.col(id_column).cast("bigint").alias("doc_id"), "text").mapInArrow(
-            lambda b: _regions(b, filled, masks),
+            lambda b: _regions(b, filled, masks, reach),
             "region bigint, doc_id bigint, start bigint, tokens array<bigint>, hits array<struct<mask:int,hash:bigint,at:int>>",
         ),
         "regions",
@@ -227,7 +226,12 @@ def overlaps(
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that overlap an item; an overlap depends on the text alone."""
-    keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("__key"), F.struct(*docs.columns).alias("__row"), "text")
+    """``docs`` without the rows that overlap an item; an overlap depends on the text alone.
+
+    Rows are named by a hash of their text. What is found is written first, so the
+    planner knows its size and shuffles the documents only if it is large.
+    """
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    keyed = docs.select(key.alias("__key"), F.struct(*docs.columns).alias("__row"), "text")
     found = overlaps(keyed, benchmark, id_column="__key").select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.select("__key", "__row").join(found, "__key", "left_anti").select("__row.*")
+    return keyed.select("__key", "__row").join(materialize(found, "overlapping"), "__key", "left_anti").select("__row.*")

@@ -100,3 +100,29 @@ def test_every_placement_of_substitutions_is_found(spark):
             texts.append(" ".join(words(20) + part + words(20)))
     got = {(r["doc_id"], r["item_id"]) for r in dc.overlaps(docs(spark, texts), bench(spark, items)).collect()}
     assert want <= got and got == brute(texts, items)
+
+
+def brute_matched(text, item):
+    """Most equal aligned tokens of any alignment that has a similar stretch."""
+    toks, best, need = text.split(), 0, min(13, len(item))
+    for shift in range(-len(item) + 1, len(toks)):
+        equal = [item[i] == toks[i + shift] for i in range(max(0, -shift), min(len(item), len(toks) - shift))]
+        if any(sum(equal[i : i + need]) >= 0.8 * need for i in range(len(equal) - need + 1)):
+            best = max(best, sum(equal))
+    return best
+
+
+def test_matched_counts_whole_alignments(spark):
+    rng = random.Random(2)
+    items = [words(300), words(90), words(20), words(6)]
+    texts = []
+    for item in items:
+        for share in (0.0, 0.1, 0.5):
+            part = ["other" if rng.random() < share else w for w in item]
+            # One stretch is left whole, so that a pair is found whatever the rest looks like.
+            at = rng.randrange(max(1, len(item) - 13))
+            part[at : at + 13] = item[at : at + 13]
+            texts.append(" ".join(words(7) + part + words(9)))
+    got = {(r["doc_id"], r["item_id"]): (r["matched"], r["item_tokens"]) for r in dc.overlaps(docs(spark, texts), bench(spark, items)).collect()}
+    assert {d: k for d, k in got} == {d: d // 3 for d in range(12)}
+    assert all(n == len(items[k]) and m == brute_matched(texts[d], items[k]) for (d, k), (m, n) in got.items())
