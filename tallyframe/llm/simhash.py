@@ -28,6 +28,7 @@ results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -205,13 +206,23 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_column:
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each group of similar texts, the same one in every run."""
+    """``docs`` with one row of each group of similar texts, the same one in every run.
+
+    Rows are named by a hash of id and text. The lists of names that go, and of
+    names that several rows share, are written first: the planner knows their size
+    and shuffles the documents only if they are large.
+    """
     key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit("")))
     keyed = docs.select(key.alias("__key"), F.struct(*docs.columns).alias("__row"), "text")
     groups = similar_groups(keyed, words, similarity, id_column="__key")
-    kept = groups.where("id = component").select(F.col("id").alias("__key")).distinct()
-    # Repeated rows have the same key, and meet after the join without another shuffle.
-    return keyed.select("__key", "__row").join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select("__row.*")
+    named = groups.groupBy(F.col("id").alias("__key")).agg(F.count("*").alias("n"), F.first("component").alias("component"))
+    named = materialize(named, "named")
+    rows = keyed.select("__key", "__row").join(materialize(named.where("__key <> component").select("__key"), "going"), "__key", "left_anti")
+    shared = materialize(named.where("__key = component and n > 1").select("__key"), "shared")
+    # Of rows equal in id and text but not in other columns, the one with the least hash.
+    one = F.min_by("__row", F.xxhash64(*[F.col(f"__row.`{c}`") for c in docs.columns])).alias("__row")
+    again = rows.join(shared, "__key", "left_semi").groupBy("__key").agg(one).select("__row")
+    return rows.join(shared, "__key", "left_anti").select("__row").union(again).select("__row.*")
 
 
 def hexadecimal(fp):
@@ -220,26 +231,63 @@ def hexadecimal(fp):
 
 # Groups by similarity: a long SimHash sketch proposes links, the shingle sets decide them.
 
-#: Words of a sketch; eight make 512 bits.
-SKETCH_WORDS = 8
+#: Members that a node of unlike texts has on average; the length of the pieces follows from it.
+MEMBERS = 256
 PIECE_BITS = 10
-PIECES = SKETCH_WORDS * 64 // PIECE_BITS
+#: Probability that two sets at the similarity share no piece.
+MISSED = 2e-5
 #: Sets of up to so many shingles meet by their least hashes, where no link is lost, instead of by pieces.
 SHORT = 64
-#: Members of a node that one task compares; larger nodes are compared block by block.
+#: Members of a node that one task compares with each other; larger nodes are dealt to blocks.
 NODE = 2048
-_MIXERS = (np.arange(1, SKETCH_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Blocks of shingle sets at least, and bytes of one, in verification.
+SET_BLOCKS, SET_BYTES = 16, 32 << 20
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Pieces of ``bits`` masked bits of a sketch of ``words`` 64-bit words; none lies across two words."""
+
+    bits: int
+    words: int
+
+    @property
+    def per_word(self) -> int:
+        return 64 // self.bits
+
+    @property
+    def mixers(self) -> np.ndarray:
+        return (np.arange(1, self.words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+    def pieces(self, sketches: np.ndarray) -> np.ndarray:
+        """The pieces of every row of ``sketches``, a column for each."""
+        shifts = np.arange(self.per_word, dtype=np.uint64) * np.uint64(self.bits)
+        cut = sketches[:, :, None] >> shifts & np.uint64((1 << self.bits) - 1)
+        return cut.reshape(len(sketches), -1).astype(np.int64)
 
 
-def sketch_radius(similarity: float, bits: int = 64 * SKETCH_WORDS) -> int:
-    """Differing bits of ``bits`` that sets of this Jaccard similarity have, and five standard deviations.
+def layout_for(rows: int, similarity: float) -> Layout:
+    """Longer pieces, and more of them, for larger tables: unlike texts make nodes of ``MEMBERS`` at any size."""
+    bits = max(PIECE_BITS, int(np.ceil(np.log2(max(1, rows) / MEMBERS))))
+    same = (1 - _apart(similarity)) ** bits
+    pieces = int(np.ceil(np.log(MISSED) / np.log1p(-same)))
+    return Layout(bits, -(-pieces // (64 // bits)))
+
+
+def _apart(similarity: float) -> float:
+    """Probability that a bit differs between two sets of equal size at this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def sketch_radius(similarity: float, bits: int, short: bool) -> int:
+    """Differing bits that sets of this similarity have in ``bits`` bits, and some standard deviations.
 
     Two sets of equal size at Jaccard similarity s have the cosine 2s / (1 + s); a
     bit differs with the probability of their angle over pi. Ties make it up to a
     quarter more in sets of a few shingles (3/16 for four and five, at 0.8).
     """
-    p = 1.25 * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * p + 5 * np.sqrt(bits * p * (1 - p)))
+    p = (1.25 if short else 1.06) * _apart(similarity)
+    return int(bits * p + (5 if short else 4) * np.sqrt(bits * p * (1 - p)))
 
 
 def sketch(hashes: np.ndarray, mixers: np.ndarray) -> np.ndarray:
@@ -255,8 +303,8 @@ def sketch(hashes: np.ndarray, mixers: np.ndarray) -> np.ndarray:
     return (counts * 2 > len(hashes)).astype(np.uint8)
 
 
-def meeting_pieces(hashes: np.ndarray, bits: np.ndarray, similarity: float) -> np.ndarray:
-    """Keys of the nodes of a set with these sorted distinct hashes.
+def meeting_pieces(hashes: np.ndarray, pieces: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of the nodes of a set with these sorted distinct hashes and pieces.
 
     Of two sets at ``similarity`` both are up to SHORT, or both above its share.
     Short ones share one of their least hashes: more than the others can't differ.
@@ -265,8 +313,7 @@ def meeting_pieces(hashes: np.ndarray, bits: np.ndarray, similarity: float) -> n
     if 0 < n <= SHORT:
         out.append(hashes[: n - int(np.ceil(similarity * n - 1e-9)) + 1].view(np.int64) | np.int64(-1 << 63))
     if n > int(SHORT * similarity) or not n:
-        pieces = bits[: PIECES * PIECE_BITS].reshape(PIECES, PIECE_BITS).astype(np.int64) @ (1 << np.arange(PIECE_BITS))
-        out.append(pieces + (np.arange(PIECES) << PIECE_BITS))
+        out.append(pieces | np.arange(len(pieces)) << 48)
     return np.concatenate(out)
 
 
@@ -283,9 +330,9 @@ def _node(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(text.lower().split()))
 
 
-def sketches(docs: DataFrame, words: int, id_column: str = "doc_id", similarity: float = 0.8) -> DataFrame:
+def sketches(docs: DataFrame, layout: Layout, words: int, id_column: str = "doc_id", similarity: float = 0.8) -> DataFrame:
     """(id, raw, node, size, sketch, pieces) of the distinct shingles; node names the sequence of words, equal sequences share one."""
-    mixers = _MIXERS
+    mixers = layout.mixers
 
     def run(batches):
         for batch in batches:
@@ -293,11 +340,11 @@ def sketches(docs: DataFrame, words: int, id_column: str = "doc_id", similarity:
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_buffer().to_pybytes()
                 hashes = np.unique(shingle_hashes(text, words))
-                bits = sketch(hashes, mixers)
+                packed = np.packbits(sketch(hashes, mixers), bitorder="little")
                 out["node"].append(_node(text))
                 out["size"].append(len(hashes))
-                out["sketch"].append(np.packbits(bits, bitorder="little").tobytes())
-                out["pieces"].append(meeting_pieces(hashes, bits, similarity))
+                out["sketch"].append(packed.tobytes())
+                out["pieces"].append(meeting_pieces(hashes, layout.pieces(packed.view("<u8")[None, :])[0], similarity))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -316,82 +363,154 @@ def sketches(docs: DataFrame, words: int, id_column: str = "doc_id", similarity:
 
 
 def similar_pairs(
-    a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray, similarity: float
+    sketches_: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs of sketches within the radius whose sets' sizes allow the similarity, and their differing bits.
+    """Pairs (a member of a, one of b) within the radius whose sets' sizes allow the similarity, and their differing bits.
 
-    Rows are taken by size. Differences are accumulated word by word; a pair is
-    dropped as soon as they pass the radius, or that of the first two words.
+    Members are sorted by size band, then by the Gray rank of the sketch's first
+    word, so that neighbours share bits. Runs of eight of b are upper nodes with
+    the bits that all below them share; a run goes as a whole once the differences
+    on its shared bits pass what the first two words may differ in. Differences of
+    the rest are accumulated word by word.
     """
     left, right, bits = [], [], []
-    radius, first = sketch_radius(similarity), sketch_radius(similarity, 128)
-    a_order, b_order = np.argsort(a_sizes, kind="stable"), np.argsort(b_sizes, kind="stable")
-    sorted_sizes = b_sizes[b_order]
-    for at in range(0, len(a), 512):
-        rows = a_order[at : at + 512]
-        low = np.searchsorted(sorted_sizes, similarity * a_sizes[rows[0]] - 1e-6)
-        high = np.searchsorted(sorted_sizes, a_sizes[rows[-1]] / similarity + 1e-6, side="right")
-        columns = b_order[low:high]
-        part, other = a[rows], b[columns]
+    bands = np.floor(np.log(np.maximum(sizes, 1)) / -np.log(similarity) * (1 - 1e-9))
+    rank = gray_rank(sketches_[:, 0])
+    a, b = (x[np.lexsort((rank[x], bands[x]))] for x in (a, b))
+    b_bands = bands[b]
+    if not len(a) or not len(b):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    width = 64 * sketches_.shape[1]
+    wide, narrow = sketch_radius(similarity, width, True), sketch_radius(similarity, width, False)
+    heads = np.arange(0, len(b), FAN)
+    both = np.bitwise_and.reduceat(sketches_[b, :2], heads)
+    shared = ~(both ^ np.bitwise_or.reduceat(sketches_[b, :2], heads))
+    for at in range(0, len(a), 256):
+        rows = a[at : at + 256]
+        low = np.searchsorted(b_bands, bands[rows[0]] - 1)
+        high = np.searchsorted(b_bands, bands[rows[-1]] + 1, side="right")
+        if low == high:
+            continue
+        short = similarity * sizes[rows].min() <= SHORT
+        first = sketch_radius(similarity, 128, bool(short))
+        part = sketches_[rows]
+        runs = np.arange(low // FAN, (high - 1) // FAN + 1)
+        apart = np.bitwise_count((part[:, None, 0] ^ both[None, runs, 0]) & shared[None, runs, 0])
+        apart += np.bitwise_count((part[:, None, 1] ^ both[None, runs, 1]) & shared[None, runs, 1])
+        alive = runs[(apart <= first).any(axis=0)]
+        columns = (alive[:, None] * FAN + np.arange(FAN)).ravel()
+        columns = b[columns[(columns >= low) & (columns < high)]]
+        other = sketches_[columns]
         apart = np.bitwise_count(part[:, None, 0] ^ other[None, :, 0])
         apart += np.bitwise_count(part[:, None, 1] ^ other[None, :, 1])
         i, j = np.nonzero(apart <= first)
         total = apart[i, j].astype(np.int64)
-        for w in range(2, a.shape[1]):
+        for w in range(2, sketches_.shape[1]):
             total = total + np.bitwise_count(part[i, w] ^ other[j, w])
-            keep = total <= radius
+            keep = total <= wide
             i, j, total = i[keep], j[keep], total[keep]
-        small, large = np.minimum(a_sizes[rows[i]], b_sizes[columns[j]]), np.maximum(a_sizes[rows[i]], b_sizes[columns[j]])
-        keep = small >= similarity * large - 1e-6
-        left.append(rows[i[keep]])
-        right.append(columns[j[keep]])
+        i, j = rows[i], columns[j]
+        small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+        keep = (small >= similarity * large - 1e-6) & (total <= np.where(small <= SHORT, wide, narrow)) & (i != j)
+        left.append(i[keep])
+        right.append(j[keep])
         bits.append(total[keep])
-    return np.concatenate(left), np.concatenate(right), np.concatenate(bits)
+    put = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+    return put(left), put(right), put(bits)
 
 
-def _block_links(batches, similarity: float, nearest: bool):
-    """Rows sorted by (piece, p, q): candidate links between blocks p and q of a node.
+def _first_shared(x: np.ndarray, piece: int, layout: Layout) -> np.ndarray:
+    """Of sketches' differences: whether no piece before this one is equal, so that a pair is named once."""
+    new = np.arange(len(x))
+    for k in range(piece >> 48 if piece >= 0 else 0):
+        word, shift = divmod(k, layout.per_word)
+        new = new[(x[new, word] >> np.uint64(shift * layout.bits) & np.uint64((1 << layout.bits) - 1)) != 0]
+    return new
 
-    With ``nearest`` each member gives its link to the nearest member before it,
-    else all its links to members of other roots.
+
+def _block_links(batches, similarity: float, layout: Layout, nearest: bool):
+    """Rows sorted by (piece, block): candidate links among the members of a node.
+
+    With ``nearest`` every member gives its nearest one before it, and a row of its
+    own (u = v) if there is any candidate. Else the rows that belong to the block
+    give all their links to rows that aren't of the node's largest group.
     """
 
-    def linked(block, node, root, size, words):
-        one = block == block.min()
-        a, b = np.flatnonzero(one), np.flatnonzero(~one)
-        b = b if len(b) else a
-        i, j, bits = similar_pairs(words[a], words[b], size[a], size[b], similarity)
-        i, j = a[i], b[j]
-        later = node[i] < node[j]
-        u, v = np.where(later, i, j), np.where(later, j, i)
-        keep = (u != v) & (nearest | (root[u] != root[v]))
-        u, v, bits = u[keep], v[keep], bits[keep]
+    def linked(piece, own, minor, node, root, size, words):
+        a, b = np.flatnonzero(own), np.flatnonzero(minor)
+        i, j, bits = similar_pairs(words, size, a, b, similarity)
         if nearest:
-            order = np.lexsort((node[u], bits, v))
-            order = order[np.r_[True, np.diff(v[order]) != 0]] if len(order) else order
-            u, v = u[order], v[order]
-        return node[u], node[v]
+            some = np.unique(i)
+            i, j, bits = (x[node[j] < node[i]] for x in (i, j, bits))
+            order = np.lexsort((node[j], bits, i))
+            order = order[np.r_[True, np.diff(i[order]) != 0]] if len(order) else order
+            i, j, bits = i[order], j[order], bits[order]
+            return np.r_[node[j], node[some]], np.r_[node[i], node[some]], np.r_[bits, np.zeros(len(some), np.int64)]
+        keep = root[i] != root[j]
+        i, j, bits = i[keep], j[keep], bits[keep]
+        new = _first_shared(words[i] ^ words[j], int(piece[0]), layout) if piece[0] >= 0 else np.arange(len(i))
+        u, v = node[i[new]], node[j[new]]
+        return np.minimum(u, v), np.maximum(u, v), bits[new]
 
     held = None
     for batch in batches:
-        key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)], axis=1)
-        rows = [key, *(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3, 7))]
-        rows.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype="<u8").reshape(len(key), -1))
+        rows = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(7)]
+        rows.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype="<u8").reshape(len(rows[0]), -1))
         if held is not None:
             rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-        key = rows[0]
-        cut = np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1
+        cut = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
         last = cut[-1] if len(cut) else 0
         groups = np.split(np.arange(last), cut[:-1]) if last else []
         held = [x[last:] for x in rows]
-        yield _edges([linked(*(c[x] for c in rows[1:])) for x in groups if len(x) > 1])
+        yield _edges([linked(rows[0][x], *(c[x] for c in rows[2:])) for x in groups if len(x) > 1])
     if held is not None and len(held[0]) > 1:
-        yield _edges([linked(*held[1:])])
+        yield _edges([linked(held[0], *held[2:])])
 
 
 def _edges(found) -> pa.RecordBatch:
     put = lambda k: pa.array(np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64))
-    return pa.RecordBatch.from_arrays([put(0), put(1)], ["u", "v"])
+    return pa.RecordBatch.from_arrays([put(0), put(1), put(2)], ["u", "v", "bits"])
+
+
+_CANDIDATES = "u bigint, v bigint, bits bigint"
+
+
+def _compared(rows: DataFrame, similarity: float, layout: Layout, nearest: bool) -> DataFrame:
+    dealt = rows.select("piece", "block", "own", "minor", "node", "root", "size", "sketch").repartition("piece", "block")
+    return dealt.sortWithinPartitions("piece", "block").mapInArrow(lambda b: _block_links(b, similarity, layout, nearest), _CANDIDATES)
+
+
+def _nearest(distinct: DataFrame, similarity: float, layout: Layout) -> DataFrame:
+    """(u, v, bits): of each member and piece, the nearest one before it in its block of the node."""
+    rows = distinct.select("node", F.col("node").alias("root"), "size", "sketch", F.explode("pieces").alias("piece"))
+    large = rows.groupBy("piece").agg(F.count("*").alias("n")).where(F.col("n") > NODE)
+    large = materialize(large.select("piece", F.ceil(F.col("n") / NODE).cast("int").alias("blocks")), "large")
+    dealt = rows.join(large, "piece", "left").select(
+        "*", F.pmod(F.xxhash64("node", "piece"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"),
+        F.lit(1).alias("own"), F.lit(1).alias("minor"),
+    )
+    found = _compared(dealt, similarity, layout, True)
+    # Who shares a large node may have its candidates in another block.
+    unsure = rows.join(large, "piece", "left_semi").select(F.col("node").alias("u"), F.col("node").alias("v"), F.lit(0).cast("bigint").alias("bits"))
+    return materialize(found.union(unsure.distinct()), "nearest")
+
+
+def _between(members: DataFrame, similarity: float, layout: Layout) -> DataFrame:
+    """(u, v): candidates between members of different roots.
+
+    The largest group of a node is dealt to blocks and the others go to all of
+    them, so that a node ruled by one group costs no pairs within it.
+    """
+    rows = members.select("node", "root", "size", "sketch", F.explode("pieces").alias("piece"))
+    held = rows.groupBy("piece", "root").agg(F.count("*").alias("n")).groupBy("piece")
+    held = held.agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).where(F.col("n") > F.col("most.n"))
+    held = materialize(held.select("piece", F.ceil(F.col("n") / NODE).cast("int").alias("blocks"), F.col("most.root").alias("largest")), "held")
+    placed = rows.join(held, "piece").withColumn("home", F.pmod(F.xxhash64("node", "piece"), F.col("blocks")).cast("int"))
+    minor = F.col("root") != F.col("largest")
+    everywhere = F.when(minor, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))
+    dealt = placed.select("*", F.explode(everywhere).alias("block"), minor.cast("int").alias("minor"))
+    dealt = dealt.withColumn("own", (F.col("block") == F.col("home")).cast("int"))
+    return materialize(_compared(dealt, similarity, layout, False).select("u", "v").distinct(), "between")
 
 
 def _shingle_sets(batches, words: int):
@@ -403,77 +522,76 @@ def _shingle_sets(batches, words: int):
 
 
 def _exactly_similar(batches, similarity: float):
+    """Rows sorted by pair of blocks, the sets first, then the links between them."""
+    at, sets = None, {}
     for batch in batches:
-        keep = []
-        for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            a, b = (x.values.to_numpy(zero_copy_only=False) for x in (a, b))
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        p, q, u, v = (batch.column(c).to_pylist() for c in range(4))
+        keep_u, keep_v = [], []
+        for k in range(batch.num_rows):
+            if at != (p[k], q[k]):
+                at, sets = (p[k], q[k]), {}
+            if v[k] is None:
+                sets[u[k]] = np.sort(batch.column(4)[k].values.to_numpy(zero_copy_only=False))
+                continue
+            a, b = sets[u[k]], sets[v[k]]
+            a, b = (a, b) if len(a) <= len(b) else (b, a)
+            both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
+            if both >= similarity * (len(a) + len(b) - both) - 1e-9:
+                keep_u.append(u[k])
+                keep_v.append(v[k])
+        yield pa.RecordBatch.from_arrays([pa.array(keep_u, pa.int64()), pa.array(keep_v, pa.int64())], ["u", "v"])
 
 
 def verified(links: DataFrame, docs: DataFrame, marked: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The (u, v) whose sets of distinct shingles have the similarity; only texts of linked nodes are read."""
-    ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
+    """The (u, v) whose sets of distinct shingles have the similarity; only texts of linked nodes are read.
+
+    Sets are dealt to blocks by their node, and a pair of blocks gets each of its
+    sets once, whatever the number of links between them.
+    """
+    ends = materialize(links.select(F.col("u").alias("node")).union(links.select("v")).distinct(), "ends")
     wanted = marked.join(ends, "node", "left_semi").groupBy("node").agg(F.min("raw").alias("raw")).select("raw")
+    wanted = materialize(wanted.distinct(), "wanted")
     texts = _narrow(docs, docs.columns[0]).join(wanted, "raw", "left_semi").dropDuplicates(["raw"]).select("text")
     sets = texts.mapInArrow(lambda b: _shingle_sets(b, words), "node bigint, shingles array<bigint>")
     sets = materialize(sets, "sets")
-    side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"of_{end}"))
-    laid = links.join(side("u"), "u").join(side("v"), "v").select("u", "v", "of_u", "of_v")
-    return laid.mapInArrow(lambda b: _exactly_similar(b, similarity), "u bigint, v bigint")
+    total = sets.agg(F.sum(F.size("shingles").cast("bigint"))).first()[0] or 0
+    blocks = F.lit(max(SET_BLOCKS, -(-8 * total // SET_BYTES)))
+    block = lambda c: F.pmod(F.xxhash64(c), blocks)
+    placed = links.select(F.least(block("u"), block("v")).alias("p"), F.greatest(block("u"), block("v")).alias("q"), "u", "v")
+    needed = placed.select("p", "q", F.explode(F.array("u", "v")).alias("node")).distinct()
+    none = F.lit(None)
+    laid = (
+        needed.join(sets, "node")
+        .select("p", "q", F.col("node").alias("u"), none.cast("bigint").alias("v"), "shingles")
+        .unionByName(placed.withColumn("shingles", none.cast("array<bigint>")))
+    )
+    dealt = laid.repartition("p", "q").sortWithinPartitions("p", "q", F.col("v").isNotNull(), "u")
+    return dealt.mapInArrow(lambda b: _exactly_similar(b, similarity), "u bigint, v bigint")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id") -> DataFrame:
     """(id, component): groups of texts linked by a Jaccard similarity of their shingle sets of ``similarity`` or more.
 
     Every piece of a sketch is an upper node, the masked pattern that its members
-    share. Members of a node are compared over the whole sketch, and candidates by
-    their shingle sets: first every member with its nearest, which joins most
-    groups without all of their pairs, then all pairs still in different groups.
-    Two texts at Jaccard similarity 0.8 meet in some node with probability 0.99998,
-    short ones always.
+    share. Members of a node are compared over the whole sketch, in Gray order and
+    by runs that share bits, and candidates by their shingle sets: first every
+    member with its nearest, which joins most groups without all of their pairs,
+    then all pairs still in different groups. Two texts at the similarity meet in
+    some node with probability 1 - ``MISSED``, short ones always.
     """
-    marked = materialize(sketches(docs, words, id_column, similarity), "sketches")
+    layout = layout_for(docs.count(), similarity)
+    marked = materialize(sketches(docs, layout, words, id_column, similarity), "sketches")
     named = marked.groupBy("node").agg(F.min("id").alias("least"))
     named = materialize(named, "named")
-    distinct = marked.select("node", "size", "sketch", "pieces").dropDuplicates(["node"])
-    distinct = materialize(distinct.withColumn("root", F.col("node")), "distinct")
-
-    def candidates(members, nearest):
-        rows = members.select("node", "root", "size", "sketch", F.explode("pieces").alias("piece"))
-        large = (
-            rows.groupBy("piece")
-            .agg(F.count("*").alias("n"))
-            .where(F.col("n") > NODE)
-            .select("piece", F.ceil(F.col("n") / NODE).cast("int").alias("blocks"))
-        )
-        large = materialize(large, "large")
-        blocks = F.coalesce("blocks", F.lit(1))
-        dealt = (
-            rows.join(large, "piece", "left")
-            .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .select(
-                "piece", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
-                "block", "node", "root", "size", "sketch",
-            )
-        )
-        found = (
-            dealt.repartition("piece", "p", "q")
-            .sortWithinPartitions("piece", "p", "q")
-            .mapInArrow(lambda b: _block_links(b, similarity, nearest), "u bigint, v bigint")
-        )
-        return materialize(found.distinct(), "candidates")
-
-    near = candidates(distinct, True)
-    links = materialize(verified(near, docs, marked, words, similarity), "links")
-    roots = components(links).select("node", F.col("root").alias("to"))
-    # Nodes without a nearest one have no candidate at all.
-    ends = near.select(F.col("u").alias("node")).union(near.select("v")).distinct()
-    open_ = distinct.join(ends, "node", "left_semi").join(roots, "node", "left")
-    open_ = materialize(open_.withColumn("root", F.coalesce("to", "root")).drop("to"), "open")
-    rest = candidates(open_, False).join(near, ["u", "v"], "left_anti")
+    distinct = materialize(marked.select("node", "size", "sketch", "pieces").dropDuplicates(["node"]), "distinct")
+    near = _nearest(distinct, similarity, layout)
+    one = near.where("u <> v").groupBy("v").agg(F.min(F.struct("bits", "u")).alias("to")).select(F.col("to.u").alias("u"), "v")
+    one = materialize(one, "one")
+    links = materialize(verified(one, docs, marked, words, similarity), "links")
+    roots = components(links).select("node", "root")
+    ends = materialize(near.select(F.col("u").alias("node")).union(near.select("v")).distinct(), "ends")
+    open_ = distinct.join(ends, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = _between(materialize(open_, "open"), similarity, layout).join(one, ["u", "v"], "left_anti")
     links = links.union(materialize(verified(materialize(rest, "rest"), docs, marked, words, similarity), "links"))
     linked = components(links).select(F.col("node"), "root")
     linked = materialize(linked.join(named, "node"), "linked")
