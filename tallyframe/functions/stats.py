@@ -70,12 +70,16 @@ def scaled(width: Column, height: Column, limit: int) -> tuple[Column, Column]:
     return even(width), even(height)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often, or in whatever lambda, the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(values: Column) -> Column:
-    """Of an array, stable."""
-    top = F.array_max(values)
-    e = F.transform(values, lambda v: F.exp(v - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(e, lambda v: v / total)
+    """Of an array, stable; linear in its length."""
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
+    share = lambda e: let(total(e), lambda t: F.transform(e, lambda v: v / t))
+    return let(values, lambda v: let(F.array_max(v), lambda top: let(F.transform(v, lambda x: F.exp(x - top)), share)))
 
 
 def dot(a: Column, b: Column) -> Column:

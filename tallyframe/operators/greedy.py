@@ -7,6 +7,7 @@ edges or candidates of one concept, class or frame, not the entities below them.
 from __future__ import annotations
 
 import math
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,37 +17,50 @@ from pyspark.sql.window import Window
 from ..storage import materialize
 
 
-def constrained_clusters(edges: DataFrame, forbidden: DataFrame, threshold: float) -> DataFrame:
-    """(region, cluster) per concept: edges (concept, a, b, shared, jaccard) are taken by falling overlap, then
-    ids; two clusters join unless a forbidden pair would end up in one."""
+def contracted(edges, apart) -> dict:
+    """Node -> least node of its cluster, once ``edges`` are contracted in order.
 
-    def run(key, mine: pd.DataFrame, against: pd.DataFrame) -> pd.DataFrame:
-        root, members, bans = {}, {}, {}
+    ``apart`` lists pairs that must not end up together. It is a graph over the
+    same nodes and is contracted with them: a cluster has the neighbours of all its
+    members, so whether two clusters may join is one lookup.
+    """
+    rivals, cluster, members = defaultdict(set), {}, {}
+    for a, b in apart:
+        rivals[a].add(b)
+        rivals[b].add(a)
+    for a, b in edges:
+        kept, gone = sorted((cluster.setdefault(a, a), cluster.setdefault(b, b)))
+        if kept == gone or gone in rivals[kept]:
+            continue
+        moved = members.pop(gone, [gone])
+        members.setdefault(kept, [kept]).extend(moved)
+        cluster.update(dict.fromkeys(moved, kept))
+        for rival in rivals.pop(gone, ()):
+            rivals[rival].discard(gone)
+            rivals[rival].add(kept)
+            rivals[kept].add(rival)
+    return cluster
 
-        def find(x):
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
 
-        for a, b in zip(against["a"], against["b"], strict=True):
-            bans.setdefault(a, set()).add(b)
-            bans.setdefault(b, set()).add(a)
-        for e in mine.sort_values(["shared", "a", "b"], ascending=[False, True, True]).itertuples():
-            a, b = find(e.a), find(e.b)
-            if a == b or e.jaccard < threshold:
-                continue
-            ma, mb = members.setdefault(a, {a}), members.setdefault(b, {b})
-            fa, fb = bans.setdefault(a, set()), bans.setdefault(b, set())
-            if ma & fb or mb & fa:
-                continue
-            low, high = min(a, b), max(a, b)
-            root[high] = low
-            members[low], bans[low] = ma | mb, fa | fb
-        nodes = sorted(root)
-        return pd.DataFrame({"concept": [key[0]] * len(nodes), "region": nodes, "cluster": [find(n) for n in nodes]})
+def constrained_clusters(edges: DataFrame, forbidden: DataFrame, threshold: float) -> DataFrame:
+    """(concept, region, cluster): edges (concept, a, b, shared, jaccard) at ``threshold`` or above are contracted by
+    falling overlap, then ids; two clusters join unless a forbidden pair would end up in one.
+
+    A task holds the strong edges of a concept and the forbidden pairs among their ends; regions without a strong
+    edge never reach one.
+    """
+    regions = edges.select("concept", F.explode(F.array("a", "b")).alias("region")).distinct()
+    strong = materialize(edges.where(F.col("jaccard") >= threshold), "strong")
+    ends = strong.select("concept", F.explode(F.array("a", "b")).alias("a")).distinct()
+    against = forbidden.join(ends, ["concept", "a"], "left_semi").join(ends.withColumnRenamed("a", "b"), ["concept", "b"], "left_semi")
+
+    def run(key, mine: pd.DataFrame, rivals: pd.DataFrame) -> pd.DataFrame:
+        mine = mine.sort_values(["shared", "a", "b"], ascending=[False, True, True])
+        cluster = contracted(zip(mine["a"], mine["b"], strict=True), zip(rivals["a"], rivals["b"], strict=True))
+        return pd.DataFrame({"concept": [key[0]] * len(cluster), "region": list(cluster), "cluster": list(cluster.values())})
 
-    return edges.groupBy("concept").cogroup(forbidden.groupBy("concept")).applyInPandas(run, "concept int, region long, cluster long")
+    joined = strong.groupBy("concept").cogroup(against.groupBy("concept")).applyInPandas(run, "concept int, region long, cluster long")
+    return regions.join(joined, ["concept", "region"], "left").select("concept", "region", F.coalesce("cluster", "region").alias("cluster"))
 
 
 def disjoint_components(edges: DataFrame) -> DataFrame:
@@ -74,31 +88,64 @@ def disjoint_components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("part").applyInPandas(run, "region long, cluster long")
 
 
+def strongest(shared: dict[int, int], size: int, sizes: list[int]) -> tuple[int | None, float, float]:
+    """(group, overlap, containment): groups are met in order, and each that beats the strongest so far in either measure replaces it."""
+    found, overlap, inside = None, 0.0, 0.0
+    for g in sorted(shared):
+        measures = shared[g] / (size + sizes[g] - shared[g]), shared[g] / min(size, sizes[g])
+        if measures[0] > overlap or measures[1] > inside:
+            found, (overlap, inside) = g, measures
+    return found, overlap, inside
+
+
 def sequential_clusters(regions: DataFrame, merge_iou: float, containment: float) -> DataFrame:
-    """(region, cluster) per concept: regions (concept, region, score, entities) by falling score and size join the
-    group that beat the best so far in overlap or containment, if either bound is reached, else open a new one."""
+    """(concept, region, cluster): regions (concept, region, score, entities) by falling score and size join the
+    strongest group, if its overlap or containment reaches its bound, else open one of their own.
+
+    Only groups that hold one of a region's entities can be strongest, so an index from entities to groups is all
+    that is looked at: a region costs its entities, whatever the number of groups. A task holds a concept's index.
+    """
 
     def run(mine: pd.DataFrame) -> pd.DataFrame:
         mine = mine.assign(n=mine["entities"].map(len)).sort_values(["score", "n", "region"], ascending=[False, False, True])
-        groups, out = [], []
-        for r in mine.itertuples():
-            own, best, best_iou, best_in = set(r.entities), None, 0.0, 0.0
-            for g in groups:
-                shared = len(own & g[1])
-                iou, inside = shared / max(1, len(own | g[1])), shared / max(1, min(len(own), len(g[1])))
-                if iou > best_iou or inside > best_in:
-                    best, best_iou, best_in = g, iou, inside
-            if best is not None and (best_iou >= merge_iou or best_in >= containment):
-                best[1].update(own)
-            else:
-                best = (r.region, own)
-                groups.append(best)
-            out.append((r.concept, r.region, best[0]))
+        groups_of, names, sizes, out = defaultdict(set), [], [], []
+        for concept, region, entities in zip(mine["concept"], mine["region"], mine["entities"], strict=True):
+            own = set(entities)
+            shared = Counter(g for e in own for g in groups_of.get(e, ()))
+            group, overlap, inside = strongest(shared, len(own), sizes)
+            if group is None or (overlap < merge_iou and inside < containment):
+                group = len(names)
+                names.append(region)
+                sizes.append(0)
+            for e in own:
+                sizes[group] += group not in groups_of[e]
+                groups_of[e].add(group)
+            out.append((concept, region, names[group]))
         return pd.DataFrame(out, columns=["concept", "region", "cluster"])
 
     return regions.groupBy("concept").applyInPandas(run, "concept int, region long, cluster long")
 
 
+def first_come(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, node) that stay if nodes (part, node, place) are taken in order of place and each that has an edge
+    (part, a, b) to a taken one is left out. A task holds the edges of a part."""
+
+    def run(key, mine: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        beside = defaultdict(list)
+        for a, b in zip(near["a"], near["b"], strict=True):
+            beside[a].append(b)
+            beside[b].append(a)
+        out, kept = set(), []
+        for node in mine.sort_values("place")["node"]:
+            if node not in out:
+                kept.append(node)
+                out.update(beside[node])
+        return pd.DataFrame({"part": [key[0]] * len(kept), "node": kept})
+
+    nodes, edges = materialize(nodes.select("part", "node", "place"), "nodes"), materialize(edges, "edges")
+    return nodes.groupBy("part").cogroup(edges.groupBy("part")).applyInPandas(run, "part int, node long")
+
+
 def box_overlap(p, q) -> float:
     w, h = min(p[2], q[2]) - max(p[0], q[0]), min(p[3], q[3]) - max(p[1], q[1])
     if w <= 0 or h <= 0:
@@ -214,22 +261,25 @@ def takeover(candidates: DataFrame, support: DataFrame, max_risk: float, min_siz
     """(candidate, accepted, reason, taken): candidates (candidate, risk, size) by rising risk, falling size and id
     take the entities of ``support`` (candidate, entity) that no accepted earlier one took; those left with too few go.
 
-    What a candidate gets depends on earlier ones only, so the earliest that falls short is final, and each
-    round drops it. Entities stay in DataFrames; a round is one aggregate, and there are as many as drops.
+    What a candidate gets depends on earlier ones only, so the earliest that falls short is final. So are those
+    after it that fall short even if they got all that the final ones leave. Each round drops both, by an aggregate
+    over entities; decisions stay in tables.
     """
     order = Window.orderBy("risk", F.desc("size"), "candidate")  # candidates are a dimension
     ranked = materialize(candidates.withColumn("place", F.row_number().over(order)), "ranked")
     alive = ranked.where(F.col("risk") <= max_risk).select("candidate", "place")
-    dropped: list = []
     while True:
-        rest = alive.where(~F.col("candidate").isin(dropped)) if dropped else alive
-        first = support.join(rest, "candidate").groupBy("entity").agg(F.min(F.struct("place", "candidate")).alias("o"))
+        claims = support.join(alive, "candidate").select("entity", "candidate", "place")
+        first = claims.groupBy("entity").agg(F.min(F.struct("place", "candidate")).alias("o"))
         taken = first.groupBy(F.col("o.candidate").alias("candidate")).agg(F.count("*").alias("taken"))
-        counts = materialize(rest.join(taken, "candidate", "left").fillna(0, ["taken"]), "taken")
-        short = counts.where(F.col("taken") < min_size).orderBy("place").limit(1).collect()
-        if not short:
+        counts = materialize(alive.join(taken, "candidate", "left").fillna(0, ["taken"]), "taken")
+        short = counts.where(F.col("taken") < min_size).agg(F.min("place")).first()[0]
+        if short is None:
             break
-        dropped.append(short[0]["candidate"])
+        left = claims.join(first.select("entity", F.col("o.place").alias("by")), "entity").where(F.col("by") >= short)
+        bound = left.where(F.col("place") > short).groupBy("candidate").agg(F.count("*").alias("most"))
+        rest = counts.join(bound, "candidate", "left").where((F.col("place") < short) | ((F.col("place") > short) & (F.coalesce("most", F.lit(0)) >= min_size)))
+        alive = materialize(rest.select("candidate", "place"), "alive")
     reason = F.when(F.col("taken").isNotNull(), "accepted").when(F.col("risk") > max_risk, "risk").otherwise("small")
     return ranked.join(counts.select("candidate", "taken"), "candidate", "left").select(
         "candidate", F.col("taken").isNotNull().alias("accepted"), reason.alias("reason"), F.coalesce("taken", F.lit(0)).alias("taken")

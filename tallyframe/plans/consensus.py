@@ -77,14 +77,14 @@ def observer_reliability(spark, d):
 @query(
     "CMP3",
     f"""WITH {chain(V2)}, lab AS (SELECT entity, CASE WHEN status = 0 THEN winner ELSE 0 END AS label FROM stat),
-loo AS (SELECT w.observer, w.winner AS held, coalesce(l.label, 0) AS others FROM win w LEFT JOIN lab l USING (entity) WHERE w.observer % 3 = 0), {RELIABILITY}
+loo AS (SELECT w.observer, w.winner AS held, coalesce(l.label, 0) AS others FROM win w LEFT JOIN lab l USING (entity)), {RELIABILITY}
 SELECT observer, trials, agreed, round(reliability, 6) AS reliability FROM rel""",
 )
 def additional_observer_reliability(spark, d):
     votes = order_votes(spark, d)
     winners = _winners(votes)
     locked = op.labels(_stats(votes, winners))
-    return op.against_locked(winners.where("observer % 3 = 0"), locked).withColumn("reliability", F.round("reliability", 6))
+    return op.against_locked(winners, locked).withColumn("reliability", F.round("reliability", 6))
 
 
 SCORES = """sc AS (SELECT entity, winner AS class_id, sum(reliability * round(value, 9)) AS score, count(*) AS observers FROM win JOIN rel USING (observer) WHERE winner > 0 GROUP BY ALL)"""

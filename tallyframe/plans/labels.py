@@ -143,9 +143,9 @@ def ownership_max_support(spark, d):
     return op.owners(_support(spark, d))
 
 
-@query("WIN21", f"WITH {PROPS}, c AS (SELECT entity, grp AS cluster, concept AS class_id, max(score) AS score FROM props WHERE weight >= 40 GROUP BY ALL) SELECT entity, CASE WHEN count(DISTINCT class_id) = 1 THEN CAST(arg_max(cluster, struct_pack(s := round(score, 9), c := -cluster)) AS INT) ELSE 0 END AS cluster FROM c GROUP BY 1")
+@query("WIN21", f"WITH {PROPS}, c AS (SELECT entity, grp AS cluster, concept AS class_id, max(score) AS score FROM props GROUP BY ALL) SELECT entity, CASE WHEN count(DISTINCT class_id) = 1 THEN CAST(arg_max(cluster, struct_pack(s := round(score, 9), c := -cluster)) AS INT) ELSE 0 END AS cluster FROM c GROUP BY 1")
 def component_conflicts(spark, d):
-    claims = _props(spark, d).where("weight >= 40").groupBy("entity", F.col("grp").alias("cluster"), F.col("concept").alias("class_id")).agg(F.max("score").alias("score"))
+    claims = _props(spark, d).groupBy("entity", F.col("grp").alias("cluster"), F.col("concept").alias("class_id")).agg(F.max("score").alias("score"))
     return op.unconflicted(claims)
 
 

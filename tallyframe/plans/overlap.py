@@ -177,12 +177,12 @@ def regions_in_core(spark, d):
 
 @query(
     "JN22 X17",
-    f"""WITH {R1}, s AS (SELECT DISTINCT concept, entity FROM regions WHERE weight >= 45), n AS (SELECT concept, count(*) AS n FROM s GROUP BY 1)
+    f"""WITH {R1}, s AS (SELECT DISTINCT concept, entity FROM regions), n AS (SELECT concept, count(*) AS n FROM s GROUP BY 1)
 SELECT x.concept AS a, y.concept AS b, count(*) AS shared, round(count(*) / (any_value(p.n) + any_value(q.n) - count(*)), 6) AS iou, count(*) / least(any_value(p.n), any_value(q.n)) >= 0.2 AS conflict
 FROM s x JOIN s y ON x.entity = y.entity AND x.concept < y.concept JOIN n p ON p.concept = x.concept JOIN n q ON q.concept = y.concept GROUP BY 1, 2""",
 )
 def class_pair_overlap(spark, d):
-    s = regions(spark, d).where("weight >= 45").select("concept", "entity").distinct()
+    s = regions(spark, d).select("concept", "entity").distinct()
     n = s.groupBy("concept").agg(F.count("*").alias("n"))
     a, b = (s.withColumnRenamed("concept", c) for c in "ab")
     shared = a.join(b, "entity").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))

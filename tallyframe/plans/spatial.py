@@ -177,13 +177,15 @@ def envelope_membership(spark, d):
     return j.groupBy("label").agg(F.count_if(inside).alias("inside"), F.count("*").alias("n"))
 
 
-PAIR = "p AS (SELECT a.observer AS a, b.observer AS b, a.px, a.py, a.pz, a.yaw, b.px AS qx, b.py AS qy, b.pz AS qz, b.yaw AS qyaw FROM cameras a JOIN cameras b ON a.observer < b.observer AND b.observer <= 20)"
+PAIR = "p AS (SELECT a.observer AS a, b.observer AS b, a.px, a.py, a.pz, a.yaw, b.px AS qx, b.py AS qy, b.pz AS qz, b.yaw AS qyaw FROM cameras a JOIN cameras b ON b.observer - a.observer BETWEEN 1 AND 5)"
 
 
 def _pairs(spark, d):
+    """Every camera with the five that follow it, as in a recorded path."""
     c = cameras(spark, d)
-    q = c.where("observer <= 20").select(F.col("observer").alias("b"), *(F.col(f"p{x}").alias(f"q{x}") for x in "xyz"), F.col("yaw").alias("qyaw"))
-    return c.withColumnRenamed("observer", "a").join(q, F.col("a") < F.col("b"))
+    q = c.select(F.col("observer").alias("b"), *(F.col(f"p{x}").alias(f"q{x}") for x in "xyz"), F.col("yaw").alias("qyaw"))
+    following = F.explode(F.sequence(F.col("observer") + 1, F.col("observer") + 5))
+    return c.withColumn("b", following).withColumnRenamed("observer", "a").join(q, "b")
 
 
 @query("MTH11", f"WITH {C1}, {PAIR} SELECT a, b, round(sqrt(((px-qx)*(px-qx) + (py-qy)*(py-qy) + (pz-qz)*(pz-qz)) / 100.0 + power(abs(((yaw - qyaw + {math.pi}) - floor((yaw - qyaw + {math.pi}) / {2 * math.pi}) * {2 * math.pi}) - {math.pi}) / {math.pi}, 2)), 5) AS distance FROM p")
@@ -205,14 +207,14 @@ def position_scale(spark, d):
     return c.crossJoin(F.broadcast(centre)).where(r > 0).agg(F.round(F.percentile(r, 0.5), 6).alias("scale"))
 
 
-PROJ = """pr AS (SELECT observer, entity, cos(yaw) * (z - pz) + sin(yaw) * (x - px) AS depth, cos(yaw) * (x - px) - sin(yaw) * (z - pz) AS side, y - py AS dy FROM cameras, points WHERE observer <= 30),
+PROJ = """pr AS (SELECT observer, entity, cos(yaw) * (z - pz) + sin(yaw) * (x - px) AS depth, cos(yaw) * (x - px) - sin(yaw) * (z - pz) AS side, y - py AS dy FROM cameras, points),
 uv AS (SELECT observer, entity, depth, CASE WHEN depth > 1e-6 THEN 320 + 200 * side / depth END AS u, CASE WHEN depth > 1e-6 THEN 240 + 200 * dy / depth END AS v FROM pr)"""
 
 
 def _projected(spark, d):
     u, v, depth, inside = op.projected(200.0, 640.0, 480.0)
-    cams = cameras(spark, d).where("observer <= 30")
-    return points(spark, d).crossJoin(cams).select("observer", "entity", depth.alias("depth"), u.alias("u"), v.alias("v"), inside.alias("inside"))
+    # Each camera sees all points: cameras are the queries, some hundreds a scene, and points stay where they are.
+    return points(spark, d).crossJoin(cameras(spark, d)).select("observer", "entity", depth.alias("depth"), u.alias("u"), v.alias("v"), inside.alias("inside"))
 
 
 METRIC = f"WITH {C1}, {P1}, {PROJ}, m AS (SELECT observer, avg(CAST(depth > 1e-6 AS DOUBLE)) AS front, avg(CAST(coalesce(u >= 0 AND u < 640 AND v >= 0 AND v < 480, false) AS DOUBLE)) AS inside, quantile_cont(depth, 0.01) AS z01 FROM uv GROUP BY 1)"
@@ -243,13 +245,12 @@ def projection_rejections(spark, d):
 
 @query(
     "X16 MTH22",
-    f"""WITH {C1}, {P1}, {PROJ}, s AS (SELECT observer, entity, u, v, coalesce(u >= 0 AND u < 640 AND v >= 0 AND v < 480, false) AS inside FROM uv WHERE entity % 11 = 0),
+    f"""WITH {C1}, {P1}, {PROJ}, s AS (SELECT observer, entity, u, v, coalesce(u >= 0 AND u < 640 AND v >= 0 AND v < 480, false) AS inside FROM uv),
 g AS (SELECT observer, avg(CAST(inside AS DOUBLE)) AS fraction, quantile_cont(u, 0.05) FILTER (inside) AS u0, quantile_cont(u, 0.95) FILTER (inside) AS u1 FROM s GROUP BY 1)
 SELECT observer, round(fraction, 6) AS fraction, round(u0, 3) AS u0, round(u1, 3) AS u1 FROM g WHERE fraction >= 0.02 ORDER BY g.fraction DESC, observer LIMIT 6""",
 )
 def view_prompts(spark, d):
-    s = _projected(spark, d).where("entity % 11 = 0")
-    g = s.groupBy("observer").agg(F.avg(F.col("inside").cast("double")).alias("fraction"), F.percentile(F.when(F.col("inside"), F.col("u")), [0.05, 0.95]).alias("q"))
+    g = _projected(spark, d).groupBy("observer").agg(F.avg(F.col("inside").cast("double")).alias("fraction"), F.percentile(F.when(F.col("inside"), F.col("u")), [0.05, 0.95]).alias("q"))
     top = g.where("fraction >= 0.02").orderBy(F.desc("fraction"), "observer").limit(6)
     return top.select("observer", F.round("fraction", 6).alias("fraction"), F.round(F.get("q", F.lit(0)), 3).alias("u0"), F.round(F.get("q", F.lit(1)), 3).alias("u1"))
 

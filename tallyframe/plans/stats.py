@@ -136,17 +136,19 @@ def pixel_boxes(spark, d):
 @query(
     "MTH24 MTH26 SET7",
     f"""WITH {BOXES}, i AS (SELECT p.k AS a, q.k AS b, greatest(0, least(p.x1, q.x1) - greatest(p.x0, q.x0)) * greatest(0, least(p.y1, q.y1) - greatest(p.y0, q.y0)) AS i, (p.x1 - p.x0) * (p.y1 - p.y0) AS pa, (q.x1 - q.x0) * (q.y1 - q.y0) AS qa,
-  greatest(0, least(floor(p.x1), floor(q.x1)) - greatest(floor(p.x0), floor(q.x0)) + 1) * greatest(0, least(floor(p.y1), floor(q.y1)) - greatest(floor(p.y0), floor(q.y0)) + 1) AS px FROM c p JOIN c q ON p.k < q.k AND q.k <= 30)
+  greatest(0, least(floor(p.x1), floor(q.x1)) - greatest(floor(p.x0), floor(q.x0)) + 1) * greatest(0, least(floor(p.y1), floor(q.y1)) - greatest(floor(p.y0), floor(q.y0)) + 1) AS px FROM c p JOIN c q ON p.k < q.k AND p.k // 20 = q.k // 20)
 SELECT a, b, round(coalesce(i / nullif(pa + qa - i, 0), 0), 6) AS iou, CAST(px AS BIGINT) AS pixels FROM i""",
 )
 def box_overlaps(spark, d):
     c = _boxes(spark, d)
     names = ("x0", "y0", "x1", "y1")
-    p = c.select(F.col("k").alias("a"), *(F.col(n).alias(f"p{n}") for n in names))
-    q = c.where("k <= 30").select(F.col("k").alias("b"), *(F.col(n).alias(f"q{n}") for n in names))
+    # A frame holds twenty boxes.
+    frame = F.floor(F.col("k") / 20).alias("frame")
+    p = c.select(frame, F.col("k").alias("a"), *(F.col(n).alias(f"p{n}") for n in names))
+    q = c.select(frame, F.col("k").alias("b"), *(F.col(n).alias(f"q{n}") for n in names))
     pb, qb = [F.col(f"p{n}") for n in names], [F.col(f"q{n}") for n in names]
     px = op.pixel_intersection([F.floor(x) for x in pb], [F.floor(x) for x in qb])
-    return p.join(q, F.col("a") < F.col("b")).select("a", "b", F.round(op.box_iou(pb, qb), 6).alias("iou"), px.cast("bigint").alias("pixels"))
+    return p.join(q, "frame").where("a < b").select("a", "b", F.round(op.box_iou(pb, qb), 6).alias("iou"), px.cast("bigint").alias("pixels"))
 
 
 @query("MTH29 MTH30", "SELECT p_partkey AS k, CAST(floor((p_size * 13 + 7) * 512 / least(p_size * 13 + 7, p_size * 9 + 20) + 0.5) AS BIGINT) AS sw, CAST(floor((p_size * 9 + 20) * 512 / least(p_size * 13 + 7, p_size * 9 + 20) + 0.5) AS BIGINT) AS sh, CAST(greatest(1, round_even((p_size * 13 + 7) * least(1.0::DOUBLE, 320.0::DOUBLE / (p_size * 13 + 7)), 0)) AS BIGINT) AS w, CAST(greatest(1, round_even((p_size * 9 + 20) * least(1.0::DOUBLE, 320.0::DOUBLE / (p_size * 13 + 7)), 0)) AS BIGINT) AS h FROM part")
