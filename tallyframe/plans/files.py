@@ -31,6 +31,15 @@ def ply_round_trip(spark, d):
     return rows.select("entity", *(F.round(F.col(c).cast("double"), 5).alias(c) for c in "xz"), F.col("label").cast("int").alias("label"))
 
 
+@query("SRC7 SRC5 CHK4", "SELECT count(*) AS n, round(sum(round(CAST(embedding[1] AS DOUBLE), 5)), 4) AS x FROM embeddings")
+def model_point_cloud(spark, d):
+    """The point cloud of a model folder's iteration, located and read."""
+    model = scratch_path(spark, "model")
+    ply.write_ply(_cloud(spark, d), f"{model}/point_cloud/iteration_7000/point_cloud.ply", KINDS, rows_per_part=200)
+    rows = ply.read_ply(spark, configs.model_file(spark, model, 7000))
+    return rows.agg(F.count("*").alias("n"), F.round(F.sum(F.round(F.col("x").cast("double"), 5)), 4).alias("x"))
+
+
 @query("SNK1 SNK2 SNK4 SNK10 SNK11 CHK4", "SELECT count(*) AS n, CAST(sum(CASE WHEN vec_id % 3 = 0 THEN 1 + label ELSE 0 END) AS BIGINT) AS total, 5 AS properties FROM embeddings")
 def ply_label_property(spark, d):
     source, target = _written(spark, d), scratch_path(spark, "labelled.ply")
@@ -73,7 +82,7 @@ def compact_ontology(spark, d):
     return configs.compact_ontology(rows)
 
 
-@query("SRC6 SRC7", "SELECT * FROM (VALUES (0, 'a.png', 2.0::DOUBLE), (1, 'b.png', 4.0)) t(id, img_name, aspect)")
+@query("SRC6", "SELECT * FROM (VALUES (0, 'a.png', 2.0::DOUBLE), (1, 'b.png', 4.0)) t(id, img_name, aspect)")
 def camera_table(spark, d):
     rows = [{"id": i, "img_name": f"{n}.png", "width": w, "height": 100, "position": [0, 0, i], "rotation": [[1, 0, 0], [0, 1, 0], [0, 0, 1]], "fx": 1.0, "fy": 1.0} for i, n, w in ((0, "a", 200), (1, "b", 400))]
     return configs.cameras(spark, _put(spark, "cameras.json", json.dumps(rows))).select("id", "img_name", (F.col("width") / F.col("height")).alias("aspect"))

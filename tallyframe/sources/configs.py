@@ -29,7 +29,24 @@ def _refuse(rows: DataFrame, what: str) -> None:
         raise BadConfig(f"{what}: {[tuple(r) for r in found]}")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def model_file(spark: SparkSession, model: str, iteration: int) -> str:
+    """Path of a model's point cloud after ``iteration`` steps, in any store that Spark reads."""
+    path = f"{model.rstrip('/')}/point_cloud/iteration_{iteration}/point_cloud.ply"
+    if not _exists(spark, path):
+        raise FileNotFoundError(path)
+    return path
+
+
 def cameras(spark: SparkSession, path: str) -> DataFrame:
+    """Cameras of a model folder or of a file."""
+    path = path if path.endswith(".json") else f"{path.rstrip('/')}/cameras.json"
+    if not _exists(spark, path):
+        raise FileNotFoundError(path)
     return _json(spark, path, CAMERA)
 
 

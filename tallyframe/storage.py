@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is set."""
+    """The cluster's checkpoint folder; one of our own only where none is set and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
