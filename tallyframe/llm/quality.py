@@ -12,8 +12,8 @@ scores.
 Labels are read only for training rows; language, source and id are never
 inputs of a score. Edge cases: null and empty texts have no feature and score by
 the bias alone; rows without a label, or with several that disagree, don't
-train; without training rows of both kinds every score is 0.5 (no evidence);
-repeated rows score alike; clashing extra columns pass through unread; empty
+train; without training rows of both kinds every score is 0.5 (no evidence) and
+no row is rejected; repeated rows score alike; clashing extra columns pass through unread; empty
 tables give empty results.
 """
 
@@ -79,7 +79,7 @@ def features(text: bytes, shape_codes: dict | None = None) -> np.ndarray:
             if code is None:
                 import xxhash
 
-                code = xxhash.xxh64_intdigest(s[:32])
+                code = xxhash.xxh64_intdigest(s)
                 if len(known) < 100_000:
                     known[s] = code
             codes[i] = code
@@ -249,7 +249,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with their columns."""
+    """The rows of ``docs`` that score ``threshold`` or more, with their columns; all of them if there is no evidence."""
+    if model is NO_EVIDENCE:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model.plain())
     at = docs.columns.index("text")
 

@@ -40,10 +40,20 @@ PIECE = 1 << 16
 _NO_DATE = "1970-01-01T00:00:00Z"
 
 
+# Names that Hadoop has for stores that Arrow names otherwise.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs", "wasb": "abfs"}
+
+
+def arrow_uri(uri: str) -> str:
+    """The same place under the scheme that Arrow's file systems know."""
+    scheme, sep, rest = uri.partition("://")
+    return f"{_SCHEMES.get(scheme.lower(), scheme)}://{rest}" if sep else uri
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(arrow_uri(uri))
 
 
 def _base32(digest: bytes) -> str:

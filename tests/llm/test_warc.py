@@ -94,3 +94,15 @@ def test_hot_payload(spark):
     got = warc.read(warc.write(pages(spark, rows)))
     assert got.where("record_type = 'revisit' and refers_to = 499").count() == 499 and got.count() == 550
     assert got.agg(F.countDistinct("payload_digest")).first()[0] == 51
+
+
+def test_store_names():
+    assert warc.arrow_uri("s3a://bucket/key") == "s3://bucket/key" and warc.arrow_uri("file:/tmp/x") == "file:/tmp/x"
+    assert warc.arrow_uri("hdfs://name:8020/x") == "hdfs://name:8020/x" and warc.arrow_uri("abfss://c@a/x") == "abfs://c@a/x"
+
+
+def test_very_long_and_repeated_payloads(spark):
+    rows = [(i, None, "<p>" + "long " * 400_000) for i in range(6)] + [(None, None, None)] * 3
+    got = warc.read(warc.write(pages(spark, rows))).collect()
+    assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=str) == brute(rows)
+    assert warc.read(warc.write(pages(spark, []))).count() == 0
