@@ -25,7 +25,7 @@ from . import spatial as sp
 
 @dataclass(frozen=True)
 class Bounds:
-    """Thresholds, inclusive; shares are between zero and one."""
+    """Thresholds, inclusive; shares are between zero and one. The defaults."""
 
     min_anchor: int = 50
     min_coverage: float = 0.30
@@ -46,6 +46,7 @@ class Bounds:
     prototype_strong_views: int = 5
     prototype_competing: float = 0.50
     prototype_risk: float = 0.40
+    prototype_ambiguous: float = 0.90
     prototype_shape: float = 2.50
     prototype_size: float = 3.00
     component_ratio: float = 0.10
@@ -78,9 +79,9 @@ def anchors(flags: DataFrame, base: DataFrame) -> DataFrame:
     return j.withColumn("coverage", F.col("overlap") / F.greatest("anchor_size", F.lit(1))).withColumn("precision", F.col("overlap") / F.greatest("guarded", F.lit(1)))
 
 
-def kept_in_space(flags: DataFrame, points: DataFrame, anchored: DataFrame, b: Bounds) -> DataFrame:
-    """(grp, entity, by_anchor, by_size) of guarded entities whose component passes either rule."""
-    guarded = flags.where("robust and unique").join(points, "entity").join(anchored.select("grp", "anchor"), "grp")
+def kept_in_space(core: DataFrame, points: DataFrame, anchored: DataFrame, b: Bounds) -> DataFrame:
+    """(grp, entity, by_anchor, by_size) of the core entities (of flags) whose component passes either rule."""
+    guarded = core.join(points, "entity").join(anchored.select("grp", "anchor"), "grp")
     members = materialize(sp.voxel_components(guarded.select("grp", "entity", "x", "y", "z", (F.col("label") == F.col("anchor")).alias("is_anchor")), b.voxel, ["grp"]), "members")
     c = members.groupBy("grp", "component").agg(F.count("*").alias("size"), F.count_if(F.col("is_anchor")).alias("hits"))
     largest = c.groupBy("grp").agg(F.max("size").alias("largest"))
@@ -134,6 +135,29 @@ def nesting(flags: DataFrame, base: DataFrame, points: DataFrame, measures: Data
     )
 
 
+def contested(flags: DataFrame, points: DataFrame, things: DataFrame, classes: DataFrame, measures: DataFrame, taken: DataFrame | None, b: Bounds):
+    """(core, measures) of each group's robust entities, also those that other classes claim, but for what earlier groups took.
+
+    ``taken`` is (entity, grp) of accepted groups.
+    """
+    core = flags.where("robust")
+    if taken is not None:
+        first = taken.groupBy("entity").agg(F.min("grp").alias("by"))
+        core = core.join(first, "entity", "left").where("by is null or by >= grp").drop("by")
+    core = materialize(core, "contested")
+    rival = lb.competing(core.select(F.col("grp").alias("candidate"), F.col("class_id").alias("target"), "entity"), things, classes)
+    extents = sp.robust_extents(core.select("grp", "entity").join(points, "entity"), "grp", 0.05)
+    kept = materialize(kept_in_space(core, points, measures, b), "kept")
+    found = kept.groupBy("grp").agg(F.count_if(F.col("by_size")).alias("wide_kept"))
+    out = (
+        core.groupBy("grp").agg(F.count("*").alias("wide"))
+        .join(rival.select(F.col("candidate").alias("grp"), F.col("class_fraction").alias("wide_fraction"), F.col("risk").alias("wide_risk")), "grp", "left")
+        .join(extents.select("grp", *(F.col(f"e{k}").alias(f"w{k}") for k in (1, 2, 3))), "grp", "left")
+        .join(found, "grp", "left")
+    )
+    return kept.select("grp", "entity", F.col("by_size").alias("by_wide")), out
+
+
 def _shape_matches(a, prototypes, b: Bounds) -> bool:
     if a is None:
         return False
@@ -144,9 +168,15 @@ def _shape_matches(a, prototypes, b: Bounds) -> bool:
     )
 
 
-def decide(rows: list[dict], nested: list[dict], things: set[int], first_id: int, b: Bounds) -> list[tuple]:
-    """(grp, mode, reason, label, parent) of every group in order of their ids; label 0 if it changes nothing."""
+def decide(rows: list[dict], nested: list[dict], things: set[int], first_id: int, b: Bounds) -> tuple[list[tuple], bool]:
+    """(grp, mode, reason, label, parent) of every group in order of their ids, and whether contested entities were asked for.
+
+    The label is 0 if a group changes nothing. A thing that nothing anchors, but that many views support, may fill up
+    with entities that other classes claim: where its class has prototypes, nearly all that lies below it is one
+    competing object, and the whole has the shape of a prototype, it is judged by the whole.
+    """
     shapes: dict[int, list] = {}
+    asked = False
     regions: dict[int, dict] = {}
     inside = {(n["child"], n["parent"]): n for n in nested}
     out, label = [], first_id
@@ -169,25 +199,34 @@ def decide(rows: list[dict], nested: list[dict], things: set[int], first_id: int
             label += 1
             continue
         known = shapes.get(c, [])
-        strong = bool(known) and r["views"] >= b.prototype_strong_views and r["class_fraction"] <= b.prototype_competing and r["risk"] <= b.prototype_risk
+        core, fraction, risk, kept = r["guarded"], r["class_fraction"], r["risk"], r["kept_size"]
         shape = (r["e1"], r["e2"], r["e3"]) if r["e1"] is not None else None
+        recovered = False
+        if thing and not anchored and known and r["views"] >= b.prototype_strong_views:
+            asked = True
+            whole = (r["w1"], r["w2"], r["w3"]) if r["w1"] is not None else None
+            large = r["wide"] >= b.min_anchor and r["wide"] / max(r["source"], 1) >= b.prototype_robust
+            recovered = large and r["wide_fraction"] >= b.prototype_ambiguous and _shape_matches(whole, known, b)
+        if recovered:
+            core, fraction, risk, kept, shape = r["wide"], r["wide_fraction"], r["wide_risk"], r["wide_kept"], whole
+        strong = bool(known) and r["views"] >= b.prototype_strong_views and fraction <= b.prototype_competing and risk <= b.prototype_risk
         by_prototype = (
-            thing and not anchored and r["guarded"] >= b.min_anchor and r["guarded"] / max(r["source"], 1) >= b.prototype_robust
+            thing and not anchored and core >= b.min_anchor and core / max(r["source"], 1) >= b.prototype_robust
             and r["views"] >= max(b.min_views, b.prototype_views) and (_shape_matches(shape, known, b) or strong)
         )
         if not anchored and not by_prototype:
             out.append((r["grp"], "rejected", "anchor_overlap" if not overlap_ok else "anchor_coverage" if not coverage_ok else "prototype", 0, None))
             continue
-        if not (r["kept_anchor"] if anchored else r["kept_size"]):
+        if not (r["kept_anchor"] if anchored else kept):
             out.append((r["grp"], "rejected", "no_component", 0, None))
             continue
         if anchored and shape:
             shapes.setdefault(c, []).append(shape)
         if anchored and thing:
             regions[r["grp"]] = r
-        out.append((r["grp"], ("anchor" if coverage_ok else "precision") if anchored else "prototype", "", label, None))
+        out.append((r["grp"], ("anchor" if coverage_ok else "precision") if anchored else "recovered" if recovered else "prototype", "", label, None))
         label += 1
-    return out
+    return out, asked
 
 
 def refined(sources: DataFrame, claims: DataFrame, base: DataFrame, points: DataFrame, groups: DataFrame, things: set[int], b: Bounds = Bounds()) -> tuple[DataFrame, DataFrame]:
@@ -203,7 +242,7 @@ def refined(sources: DataFrame, claims: DataFrame, base: DataFrame, points: Data
     guarded = flags.where("robust and unique")
     rival = lb.competing(guarded.select(F.col("grp").alias("candidate"), F.col("class_id").alias("target"), "entity"), thing_base.select("entity", "label"), classes)
     extents = sp.robust_extents(guarded.select("grp", "entity").join(points, "entity"), "grp", 0.05).drop("n")
-    kept = materialize(kept_in_space(flags, points, measures, b), "kept")
+    kept = materialize(kept_in_space(guarded, points, measures, b), "kept")
     found = kept.groupBy("grp").agg(F.count_if(F.col("by_anchor")).alias("kept_anchor"), F.count_if(F.col("by_size")).alias("kept_size"), F.count_if(F.col("by_anchor") & F.col("is_anchor")).alias("kept_hits"))
     measures = materialize(
         measures.join(groups, "grp")
@@ -216,26 +255,45 @@ def refined(sources: DataFrame, claims: DataFrame, base: DataFrame, points: Data
     frames = materialize(envelopes(base, points, measures.where("anchor > 0"), b.envelope_quantile), "frames")
     nested = nesting(flags, base, points, measures.where(F.col("class_id").isin(*things)) if things else measures.limit(0), frames, b)
     first = (base.agg(F.max("label")).first()[0] or 0) + 1
-    rows = [r.asDict() for r in measures.collect()]
-    taken = decide(rows, [n.asDict() for n in nested.collect()], things, first, b)
-    decisions = spark.createDataFrame(taken, "grp int, mode string, reason string, label int, parent int")
-    d = decisions.withColumnRenamed("label", "new").join(measures.select("grp", "class_id", "anchor", "anchor_size", "source", "kept_anchor", "kept_hits"), "grp").join(frames, "anchor", "left")
-    thing = F.col("class_id").isin(*things) if things else F.lit(False)
-    base_thing = F.col("base_class").isin(*things) if things else F.lit(False)
-    is_anchored = F.col("mode").isin("anchor", "precision")
-    j = (
-        flags.join(d.drop("class_id"), "grp")
-        .join(points, "entity", "left")
-        .join(kept.select("grp", "entity", "by_anchor", "by_size"), ["grp", "entity"], "left")
-        .withColumn("in_frame", F.coalesce(within("frame", b.envelope_margin), F.lit(False)))
-    )
-    core = F.coalesce(F.when(is_anchored, F.col("by_anchor")).when(F.col("mode") == "prototype", F.col("by_size")), F.lit(False))
-    # Contested and weak entities of other objects come along where the group is as large as its anchor.
-    wide = is_anchored & thing & (F.col("source") / F.greatest("anchor_size", F.lit(1)) >= b.halo_ratio) & base_thing & (F.col("base_class") != F.col("class_id")) & F.col("in_frame")
-    precise = F.col("kept_hits") / F.greatest("kept_anchor", F.lit(1)) >= b.halo_precision
-    member = core | (wide & F.col("robust") & ~F.col("unique")) | (wide & ~F.col("robust") & precise)
-    allowed = F.when(is_anchored & thing, base_thing | F.col("in_frame")).when(~thing, ~base_thing).otherwise(F.lit(True))
-    changed = j.where(member & allowed & (F.col("base_class") != F.col("class_id")) & (F.col("new") > 0) & (F.col("mode") != "nested")).select("entity", "grp", "new")
+    links = [n.asDict() for n in nested.collect()]
+    schema = "grp int, mode string, reason string, label int, parent int"
+    of_group = measures.select("grp", "class_id", "anchor", "anchor_size", "source", "kept_anchor", "kept_hits")
+
+    def claimed(taken: list[tuple], wide: DataFrame) -> DataFrame:
+        """(entity, grp, new, class_id, base_class) that the accepted groups take."""
+        d = spark.createDataFrame(taken, schema).withColumnRenamed("label", "new").join(of_group, "grp").join(frames, "anchor", "left")
+        thing = F.col("class_id").isin(*things) if things else F.lit(False)
+        base_thing = F.col("base_class").isin(*things) if things else F.lit(False)
+        is_anchored = F.col("mode").isin("anchor", "precision")
+        j = (
+            flags.join(d.drop("class_id"), "grp")
+            .join(points, "entity", "left")
+            .join(kept.select("grp", "entity", "by_anchor", "by_size"), ["grp", "entity"], "left")
+            .join(wide, ["grp", "entity"], "left")
+            .withColumn("in_frame", F.coalesce(within("frame", b.envelope_margin), F.lit(False)))
+        )
+        by_mode = F.when(is_anchored, F.col("by_anchor")).when(F.col("mode") == "prototype", F.col("by_size")).when(F.col("mode") == "recovered", F.col("by_wide"))
+        core = F.coalesce(by_mode, F.lit(False))
+        # Contested and weak entities of other objects come along where the group is as large as its anchor.
+        halo = is_anchored & thing & (F.col("source") / F.greatest("anchor_size", F.lit(1)) >= b.halo_ratio) & base_thing & (F.col("base_class") != F.col("class_id")) & F.col("in_frame")
+        precise = F.col("kept_hits") / F.greatest("kept_anchor", F.lit(1)) >= b.halo_precision
+        member = core | (halo & F.col("robust") & ~F.col("unique")) | (halo & ~F.col("robust") & precise)
+        allowed = F.when(is_anchored & thing, base_thing | F.col("in_frame")).when(~thing, ~base_thing).otherwise(F.lit(True))
+        return j.where(member & allowed & (F.col("new") > 0) & (F.col("mode") != "nested")).select("entity", "grp", "new", "class_id", "base_class")
+
+    plain = [r.asDict() | dict.fromkeys(("wide", "wide_fraction", "wide_risk", "wide_kept"), 0) | dict.fromkeys(("w1", "w2", "w3")) for r in measures.collect()]
+    decided, asked = decide(plain, links, things, first, b)
+    wide, taken, before = flags.limit(0).select("grp", "entity", F.lit(False).alias("by_wide")), None, None
+    # What a group may fill up with depends on what earlier ones took, so decisions are repeated until they stay.
+    while asked and decided != before:
+        before = decided
+        wide, whole = contested(flags, points, thing_base, classes, measures, taken, b)
+        rows = measures.join(whole, "grp", "left").fillna(0, ["wide", "wide_fraction", "wide_risk", "wide_kept"])
+        decided, _ = decide([r.asDict() for r in rows.collect()], links, things, first, b)
+        taken = materialize(claimed(decided, wide).select("entity", "grp"), "taken")
+    claims_ = claimed(decided, wide)
+    decisions = spark.createDataFrame(decided, schema)
+    changed = claims_.where(F.col("base_class") != F.col("class_id")).select("entity", "grp", "new")
     # A nested group gives its anchor, as far as it lies in the parent's envelope, to the parent's class.
     up = decisions.where("mode = 'nested'").select("grp", "parent", F.col("label").alias("new"))
     up = up.join(measures.select("grp", "anchor"), "grp").join(measures.select(F.col("grp").alias("parent"), F.col("anchor").alias("pa"), F.col("class_id").alias("pc")), "parent")

@@ -31,7 +31,7 @@ def ply_round_trip(spark, d):
     return rows.select("entity", *(F.round(F.col(c).cast("double"), 5).alias(c) for c in "xz"), F.col("label").cast("int").alias("label"))
 
 
-@query("SRC7 SRC5 CHK4", "SELECT count(*) AS n, round(sum(round(CAST(embedding[1] AS DOUBLE), 5)), 4) AS x FROM embeddings")
+@query("SRC7 SRC5", "SELECT count(*) AS n, round(sum(round(CAST(embedding[1] AS DOUBLE), 5)), 4) AS x FROM embeddings")
 def model_point_cloud(spark, d):
     """The point cloud of a model folder's iteration, located and read."""
     model = scratch_path(spark, "model")

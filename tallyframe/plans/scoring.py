@@ -21,7 +21,7 @@ def _linear():
     return score
 
 
-@query("B8", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda v, i: CAST(v AS DOUBLE) * i / 64)), 5) AS score FROM embeddings")
+@query("", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda v, i: CAST(v AS DOUBLE) * i / 64)), 5) AS score FROM embeddings")
 def batch_scores(spark, d):
     return op.scored(table(spark, d, "embeddings").select("vec_id", "embedding"), _linear, "vec_id bigint, score double")
 
@@ -58,7 +58,7 @@ def _backend():
 
 
 @query(
-    "B12 B11 WIN12",
+    "B12",
     """WITH e AS (SELECT vec_id AS view, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings), p(phrase, concept, n) AS (SELECT 'bright', 'light', 0 UNION ALL SELECT 'sunny', 'light', 1 UNION ALL SELECT 'dark', 'shade', 2),
 m AS (SELECT view, phrase, concept, CAST(CASE phrase WHEN 'bright' THEN len(list_filter(v, lambda x: x > 0.1)) WHEN 'sunny' THEN len(list_filter(v, lambda x: x > 0.2)) ELSE len(list_filter(v, lambda x: x < -0.1)) END AS INT) AS pixels, n FROM e, p)
 SELECT view, CAST(row_number() OVER (PARTITION BY view ORDER BY n) - 1 AS INT) AS place, phrase, concept, round(1 - pixels / 64, 6) AS score, pixels FROM m WHERE pixels > 0 AND 1 - pixels / 64 >= 0.75""",
@@ -74,7 +74,7 @@ def _scorer():
 
 
 @query(
-    "B4 B16 WIN11",
+    "B4 B16",
     """WITH e AS (SELECT vec_id AS view, CAST((i - 1) // 8 AS INT) AS y, CAST((i - 1) % 8 AS INT) AS x, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(i)), c(cy, cx) AS (SELECT a, b FROM (VALUES (0), (3), (4)) s(a), (VALUES (0), (3), (4)) t(b)),
 m AS (SELECT view, cy, cx, avg(v) AS mean FROM e, c WHERE y BETWEEN cy AND cy + 3 AND x BETWEEN cx AND cx + 3 GROUP BY ALL)
 SELECT view, y, x, round(avg(v - mean) + 1e-12::DOUBLE, 6) AS contrast, round(avg(mean) + 1e-12::DOUBLE, 6) AS level FROM e JOIN m USING (view) WHERE y BETWEEN cy AND cy + 3 AND x BETWEEN cx AND cx + 3 GROUP BY ALL""",
@@ -85,7 +85,7 @@ def overlapping_crops(spark, d):
     return out.select("view", "y", "x", value(0).alias("contrast"), value(1).alias("level"))
 
 
-@query("B12 CHK10", "SELECT event_id, value FROM events WHERE value >= 100 AND user_id > 0")
+@query("B12", "SELECT event_id, value FROM events WHERE value >= 100 AND user_id > 0")
 def admitted_detections(spark, d):
     rows = table(spark, d, "events").select("event_id", "value", F.col("value").alias("score"), F.col("user_id").alias("area"))
     return op.admitted(rows, 100.0).select("event_id", "value")

@@ -100,3 +100,53 @@ def test_ontology_and_review(spark, tmp_path):
 
 def test_canonical_digest():
     assert configs.canonical_digest({"b": 1, "a": [2, "é"]}) == configs.canonical_digest({"a": [2, "é"], "b": 1})
+
+
+def test_missing_and_malformed_configs(spark, tmp_path):
+    model = tmp_path / "model"
+    for read in (configs.cameras, lambda s, p: configs.model_file(s, p, 30)):
+        with pytest.raises(FileNotFoundError):
+            read(spark, str(model))
+    (model / "point_cloud" / "iteration_30").mkdir(parents=True)
+    (model / "point_cloud" / "iteration_30" / "point_cloud.ply").write_text("ply")
+    assert configs.model_file(spark, f"{model}/", 30) == f"{model}/point_cloud/iteration_30/point_cloud.ply"
+    with pytest.raises(FileNotFoundError):
+        configs.model_file(spark, str(model), 31)
+    camera = {"id": 3, "img_name": "a", "width": 4, "height": 2, "position": [0, 0, 1], "rotation": [[1, 0, 0]] * 3, "fx": 1.0, "fy": 1.0}
+    (model / "cameras.json").write_text(json.dumps([camera]))
+    assert configs.cameras(spark, str(model)).first()["id"] == 3
+    (model / "cameras.json").write_text(json.dumps([camera | {"width": "wide"}]))
+    with pytest.raises(Exception, match="MALFORMED|Malformed|parse"):
+        configs.cameras(spark, str(model)).collect()
+    (tmp_path / "broken.json").write_text('{"phrases": [')
+    with pytest.raises(Exception, match="MALFORMED|Malformed|parse"):
+        configs.vocabulary(spark, str(tmp_path / "broken.json"))
+
+
+def test_storage_wants_a_shared_folder_on_a_cluster(monkeypatch):
+    from tallyframe import storage
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        storage.shared_dir(Session)
+
+
+def test_prompted_masks_refuse_other_shapes(spark):
+    import numpy as np
+
+    from tallyframe.sources import scoring
+
+    views = spark.createDataFrame([(1, 2, 3, [0.0] * 6)], "view long, height int, width int, pixels array<double>")
+    with pytest.raises(Exception, match="mask of shape"):
+        scoring.segmented(views, [("a", "a")], lambda: lambda image, phrase: [(1.0, np.ones((3, 2), bool))], 0.5).collect()
+    assert scoring.segmented(views, [("a", "a")], lambda: lambda image, phrase: [(1.0, image > 0)], 0.5).count() == 0
+    assert scoring.starts(8, 4, 3) == [0, 3, 4] and scoring.starts(3, 4, 2) == [0]

@@ -362,6 +362,39 @@ def test_guarded_refinement(spark):
     assert got[1]["changed"] > 20 and got[1]["changed"] == sum(labels[e] == got[1]["label"] for e in range(100, 140))
 
 
+def test_recovery_of_a_contested_object(spark):
+    """A second chair that the base calls a sofa and that sofas claim, too: the first chair's shape gives it back."""
+    from tallyframe.operators import refine
+
+    rng = random.Random(4)
+    place = {**{i: 0.0 for i in range(100)}, **{i: 20.0 for i in range(400, 500)}}
+    points = [(i, x + rng.random(), rng.random(), rng.random()) for i, x in place.items()]
+    base = [(i, 1 if i < 100 else 3, 1 if i < 100 else 3) for i in place]
+    sources = [(1 if i < 100 else 2, 1, i) for i in place]
+    # Of the second chair only ten entities are claimed by chairs alone.
+    claims = [(1, i) for i in place] + [(3, i) for i in range(410, 500)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+
+    def run(views, **change):
+        out, report = refine.refined(
+            frame(sources, "grp int, class_id int, entity long"),
+            frame(claims, "class_id int, entity long"),
+            frame(base, "entity long, label int, base_class int"),
+            frame(points, "entity long, x double, y double, z double"),
+            frame([(1, 3, 4), (2, 6, views)], "grp int, proposals int, views int"),
+            {1, 3},
+            refine.Bounds(min_anchor=20, voxel=0.6, **change),
+        )
+        return dicts(report, "grp"), {r["entity"]: r["label"] for r in out.collect()}
+
+    got, labels = run(6)
+    assert [got[g]["mode"] for g in (1, 2)] == ["anchor", "recovered"] and got[2]["changed"] == 100
+    assert {labels[i] for i in range(400, 500)} == {got[2]["label"]} and all(labels[i] == 1 for i in range(100))
+    # Too few views, or too little of one competing object below: it stays as it was.
+    for got, labels in (run(4), run(6, prototype_ambiguous=1.01)):
+        assert got[2]["mode"] == "rejected" and all(labels[i] == 3 for i in range(400, 500))
+
+
 def test_refinement_without_prototypes(spark):
     got = dicts(refinement(spark, prototype_views=99, prototype_strong_views=99)[1], "grp")
     assert got[3]["mode"] == "rejected" and got[3]["changed"] == 0
