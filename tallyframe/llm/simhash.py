@@ -240,8 +240,10 @@ MISSED = 2e-5
 SHORT = 64
 #: Members of a node that one task compares with each other; larger nodes are dealt to blocks.
 NODE = 2048
-#: Blocks of shingle sets at least, and bytes of one, in verification.
-SET_BLOCKS, SET_BYTES = 16, 32 << 20
+#: Words of the sketch that go to the nodes, which propose; the sets decide.
+SENT = 4
+#: Shingle sets, and bytes of them, in a block that is verified with others of its cluster.
+SET_ROWS, SET_BYTES = 512, 16 << 20
 
 
 @dataclass(frozen=True)
@@ -269,9 +271,9 @@ class Layout:
 def layout_for(rows: int, similarity: float) -> Layout:
     """Longer pieces, and more of them, for larger tables: unlike texts make nodes of ``MEMBERS`` at any size."""
     bits = max(PIECE_BITS, int(np.ceil(np.log2(max(1, rows) / MEMBERS))))
-    same = (1 - _apart(similarity)) ** bits
+    same = min((1 - _apart(similarity)) ** bits, 0.99)
     pieces = int(np.ceil(np.log(MISSED) / np.log1p(-same)))
-    return Layout(bits, -(-pieces // (64 // bits)))
+    return Layout(bits, max(SENT, -(-pieces // (64 // bits))))
 
 
 def _apart(similarity: float) -> float:
@@ -364,22 +366,21 @@ def sketches(docs: DataFrame, layout: Layout, words: int, id_column: str = "doc_
 
 def similar_pairs(
     sketches_: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs (a member of a, one of b) within the radius whose sets' sizes allow the similarity, and their differing bits.
 
     Members are sorted by size band, then by the Gray rank of the sketch's first
     word, so that neighbours share bits. Runs of eight of b are upper nodes with
     the bits that all below them share; a run goes as a whole once the differences
     on its shared bits pass what the first two words may differ in. Differences of
-    the rest are accumulated word by word.
+    the rest are accumulated word by word. Pairs come by 256 members of a at a time.
     """
-    left, right, bits = [], [], []
-    bands = np.floor(np.log(np.maximum(sizes, 1)) / -np.log(similarity) * (1 - 1e-9))
+    if not len(a) or not len(b):
+        return
+    bands = np.floor(np.log(np.maximum(sizes, 1)) / -np.log(min(similarity, 0.999)) * (1 - 1e-9))
     rank = gray_rank(sketches_[:, 0])
     a, b = (x[np.lexsort((rank[x], bands[x]))] for x in (a, b))
     b_bands = bands[b]
-    if not len(a) or not len(b):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     width = 64 * sketches_.shape[1]
     wide, narrow = sketch_radius(similarity, width, True), sketch_radius(similarity, width, False)
     heads = np.arange(0, len(b), FAN)
@@ -412,105 +413,118 @@ def similar_pairs(
         i, j = rows[i], columns[j]
         small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
         keep = (small >= similarity * large - 1e-6) & (total <= np.where(small <= SHORT, wide, narrow)) & (i != j)
-        left.append(i[keep])
-        right.append(j[keep])
-        bits.append(total[keep])
-    put = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return put(left), put(right), put(bits)
+        yield i[keep], j[keep], total[keep]
 
 
-def _first_shared(x: np.ndarray, piece: int, layout: Layout) -> np.ndarray:
-    """Of sketches' differences: whether no piece before this one is equal, so that a pair is named once."""
-    new = np.arange(len(x))
-    for k in range(piece >> 48 if piece >= 0 else 0):
-        word, shift = divmod(k, layout.per_word)
-        new = new[(x[new, word] >> np.uint64(shift * layout.bits) & np.uint64((1 << layout.bits) - 1)) != 0]
-    return new
+def _groups(batches, keys: int) -> Iterator[list]:
+    """Columns of each run of rows with equal leading ``keys`` columns; numbers, and bytes as rows of words, as arrays."""
 
-
-def _block_links(batches, similarity: float, layout: Layout, nearest: bool):
-    """Rows sorted by (piece, block): candidate links among the members of a node.
-
-    With ``nearest`` every member gives its nearest one before it, and a row of its
-    own (u = v) if there is any candidate. Else the rows that belong to the block
-    give all their links to rows that aren't of the node's largest group.
-    """
-
-    def linked(piece, own, minor, node, root, size, words):
-        a, b = np.flatnonzero(own), np.flatnonzero(minor)
-        i, j, bits = similar_pairs(words, size, a, b, similarity)
-        if nearest:
-            some = np.unique(i)
-            i, j, bits = (x[node[j] < node[i]] for x in (i, j, bits))
-            order = np.lexsort((node[j], bits, i))
-            order = order[np.r_[True, np.diff(i[order]) != 0]] if len(order) else order
-            i, j, bits = i[order], j[order], bits[order]
-            return np.r_[node[j], node[some]], np.r_[node[i], node[some]], np.r_[bits, np.zeros(len(some), np.int64)]
-        keep = root[i] != root[j]
-        i, j, bits = i[keep], j[keep], bits[keep]
-        new = _first_shared(words[i] ^ words[j], int(piece[0]), layout) if piece[0] >= 0 else np.arange(len(i))
-        u, v = node[i[new]], node[j[new]]
-        return np.minimum(u, v), np.maximum(u, v), bits[new]
+    def read(column):
+        if pa.types.is_binary(column.type):
+            return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(len(column), -1)
+        if pa.types.is_list(column.type):
+            flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+            out = np.empty(len(column), dtype=object)
+            out[:] = np.split(flat, ends[:-1]) if len(column) else []
+            return out
+        return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
     held = None
     for batch in batches:
-        rows = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(7)]
-        rows.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype="<u8").reshape(len(rows[0]), -1))
+        if not batch.num_rows:
+            continue
+        rows = [read(c) for c in batch.columns]
         if held is not None:
             rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-        cut = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
+        new = np.zeros(len(rows[0]) - 1, dtype=bool)
+        for k in range(keys):
+            new |= np.diff(rows[k]) != 0
+        cut = np.flatnonzero(new) + 1
         last = cut[-1] if len(cut) else 0
-        groups = np.split(np.arange(last), cut[:-1]) if last else []
+        for group in np.split(np.arange(last), cut[:-1]) if last else []:
+            yield [x[group] for x in rows]
         held = [x[last:] for x in rows]
-        yield _edges([linked(rows[0][x], *(c[x] for c in rows[2:])) for x in groups if len(x) > 1])
-    if held is not None and len(held[0]) > 1:
-        yield _edges([linked(held[0], *held[2:])])
+    if held is not None and len(held[0]):
+        yield held
 
 
-def _edges(found) -> pa.RecordBatch:
-    put = lambda k: pa.array(np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64))
-    return pa.RecordBatch.from_arrays([put(0), put(1), put(2)], ["u", "v", "bits"])
+def _links(found: list) -> pa.RecordBatch:
+    put = lambda k: pa.array(np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64), pa.int64())
+    return pa.RecordBatch.from_arrays([put(0), put(1)], ["u", "v"])
 
 
-_CANDIDATES = "u bigint, v bigint, bits bigint"
+def _in_turn(pairs, chunk: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of many groups, in batches."""
+    found, n = [], 0
+    for u, v in pairs:
+        found.append((u, v))
+        n += len(u)
+        if n >= chunk:
+            yield _links(found)
+            found, n = [], 0
+    yield _links(found)
 
 
-def _compared(rows: DataFrame, similarity: float, layout: Layout, nearest: bool) -> DataFrame:
-    dealt = rows.select("piece", "block", "own", "minor", "node", "root", "size", "sketch").repartition("piece", "block")
-    return dealt.sortWithinPartitions("piece", "block").mapInArrow(lambda b: _block_links(b, similarity, layout, nearest), _CANDIDATES)
+def _node_links(batches, similarity: float):
+    """Rows sorted by (piece, block): a spanning forest of the candidates among a block's members.
 
+    Rows are (piece, block, own, minor, node, root, size, sketch). Those that belong
+    to the block meet those that aren't of the node's largest group; what a root
+    already connects needs no link, so links join roots.
+    """
+
+    def forest(rows):
+        _, _, own, minor, _, root, size, words = rows
+        roots, at = np.unique(root, return_inverse=True)
+        label = np.arange(len(roots))
+        if len(roots) > 1:
+            for i, j, _ in similar_pairs(words, size, np.flatnonzero(own), np.flatnonzero(minor), similarity):
+                p, q = label[at[i]], label[at[j]]
+                label = spanning(len(roots), p[p != q], q[p != q])[label]
+        hung = np.flatnonzero(label != np.arange(len(roots)))
+        return roots[hung], roots[label[hung]]
+
+    return _in_turn(forest(rows) for rows in _groups(batches, 2))
 
-def _nearest(distinct: DataFrame, similarity: float, layout: Layout) -> DataFrame:
-    """(u, v, bits): of each member and piece, the nearest one before it in its block of the node."""
-    rows = distinct.select("node", F.col("node").alias("root"), "size", "sketch", F.explode("pieces").alias("piece"))
-    large = rows.groupBy("piece").agg(F.count("*").alias("n")).where(F.col("n") > NODE)
-    large = materialize(large.select("piece", F.ceil(F.col("n") / NODE).cast("int").alias("blocks")), "large")
-    dealt = rows.join(large, "piece", "left").select(
-        "*", F.pmod(F.xxhash64("node", "piece"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"),
-        F.lit(1).alias("own"), F.lit(1).alias("minor"),
-    )
-    found = _compared(dealt, similarity, layout, True)
-    # Who shares a large node may have its candidates in another block.
-    unsure = rows.join(large, "piece", "left_semi").select(F.col("node").alias("u"), F.col("node").alias("v"), F.lit(0).cast("bigint").alias("bits"))
-    return materialize(found.union(unsure.distinct()), "nearest")
 
+_EDGES = "u bigint, v bigint"
 
-def _between(members: DataFrame, similarity: float, layout: Layout) -> DataFrame:
-    """(u, v): candidates between members of different roots.
 
-    The largest group of a node is dealt to blocks and the others go to all of
-    them, so that a node ruled by one group costs no pairs within it.
+def _compared(rows: DataFrame, similarity: float) -> DataFrame:
+    dealt = rows.select("piece", "block", "own", "minor", "node", "root", "size", "sketch").repartition("piece", "block")
+    return dealt.sortWithinPartitions("piece", "block").mapInArrow(lambda b: _node_links(b, similarity), _EDGES)
+
+
+def clusters(distinct: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of members that have a candidate: components of the graph of candidates.
+
+    A large node's members are first compared within blocks. Those that aren't
+    connected by then, anywhere, meet in a second round: the node's largest group
+    stays in its blocks and all others go to each of them, so that a node ruled by
+    one group costs no pairs within it.
     """
-    rows = members.select("node", "root", "size", "sketch", F.explode("pieces").alias("piece"))
+    narrow = distinct.select("node", "size", F.substring("sketch", 1, 8 * SENT).alias("sketch"), F.explode("pieces").alias("piece"))
+    large = narrow.groupBy("piece").agg(F.count("*").alias("n")).where(F.col("n") > NODE)
+    large = materialize(large.select("piece", F.ceil(F.col("n") / NODE).cast("int").alias("blocks")), "large")
+    home = F.pmod(F.xxhash64("node", "piece"), F.coalesce("blocks", F.lit(1))).cast("int")
+    dealt = narrow.join(large, "piece", "left").select(
+        "*", home.alias("block"), F.col("node").alias("root"), F.lit(1).cast("tinyint").alias("own"), F.lit(1).cast("tinyint").alias("minor")
+    )
+    links = materialize(_compared(dealt, similarity).distinct(), "candidates")
+    roots = components(links)
+    if large.isEmpty():
+        return roots
+    rows = narrow.join(large, "piece").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = materialize(rows, "open")
     held = rows.groupBy("piece", "root").agg(F.count("*").alias("n")).groupBy("piece")
     held = held.agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).where(F.col("n") > F.col("most.n"))
-    held = materialize(held.select("piece", F.ceil(F.col("n") / NODE).cast("int").alias("blocks"), F.col("most.root").alias("largest")), "held")
-    placed = rows.join(held, "piece").withColumn("home", F.pmod(F.xxhash64("node", "piece"), F.col("blocks")).cast("int"))
+    held = materialize(held.select("piece", F.col("most.root").alias("largest")), "held")
+    placed = rows.join(held, "piece").withColumn("home", home)
     minor = F.col("root") != F.col("largest")
     everywhere = F.when(minor, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))
-    dealt = placed.select("*", F.explode(everywhere).alias("block"), minor.cast("int").alias("minor"))
-    dealt = dealt.withColumn("own", (F.col("block") == F.col("home")).cast("int"))
-    return materialize(_compared(dealt, similarity, layout, False).select("u", "v").distinct(), "between")
+    again = placed.select("*", F.explode(everywhere).alias("block"), minor.cast("tinyint").alias("minor"))
+    again = again.withColumn("own", (F.col("block") == F.col("home")).cast("tinyint"))
+    return components(links.union(_compared(again, similarity)).distinct())
 
 
 def _shingle_sets(batches, words: int):
@@ -521,78 +535,80 @@ def _shingle_sets(batches, words: int):
         yield pa.RecordBatch.from_arrays([node, pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def _exactly_similar(batches, similarity: float):
-    """Rows sorted by pair of blocks, the sets first, then the links between them."""
-    at, sets = None, {}
-    for batch in batches:
-        p, q, u, v = (batch.column(c).to_pylist() for c in range(4))
-        keep_u, keep_v = [], []
-        for k in range(batch.num_rows):
-            if at != (p[k], q[k]):
-                at, sets = (p[k], q[k]), {}
-            if v[k] is None:
-                sets[u[k]] = np.sort(batch.column(4)[k].values.to_numpy(zero_copy_only=False))
-                continue
-            a, b = sets[u[k]], sets[v[k]]
-            a, b = (a, b) if len(a) <= len(b) else (b, a)
-            both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
-            if both >= similarity * (len(a) + len(b) - both) - 1e-9:
-                keep_u.append(u[k])
-                keep_v.append(v[k])
-        yield pa.RecordBatch.from_arrays([pa.array(keep_u, pa.int64()), pa.array(keep_v, pa.int64())], ["u", "v"])
-
-
-def verified(links: DataFrame, docs: DataFrame, marked: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The (u, v) whose sets of distinct shingles have the similarity; only texts of linked nodes are read.
-
-    Sets are dealt to blocks by their node, and a pair of blocks gets each of its
-    sets once, whatever the number of links between them.
+def jaccard_reaches(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Of two sorted sets."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def _verified(batches, similarity: float):
+    """Rows (cluster, p, q, block, node, size, sketch, shingles) sorted by the first three: a spanning forest of the
+    links between the blocks p and q that the sets decide.
+
+    The nearest of 256 members' candidates come first, and pairs that are connected by then are not looked at.
+    """
+
+    def forest(rows):
+        _, p, q, block, node, size, words, sets = rows
+        a, b = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        sets = [np.sort(x) for x in sets]
+        label, u, v = np.arange(len(node)), [], []
+        for i, j, bits in similar_pairs(words, size, a, b, similarity):
+            new = label[i] != label[j]
+            i, j, bits = i[new], j[new], bits[new]
+            order = np.lexsort((j, i, bits))
+            for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                if label[x] != label[y] and jaccard_reaches(sets[x], sets[y], similarity):
+                    label[label == label[y]] = label[x]
+                    u.append(node[x])
+                    v.append(node[y])
+        return np.array(u, dtype=np.int64), np.array(v, dtype=np.int64)
+
+    return _in_turn(forest(rows) for rows in _groups(batches, 3))
+
+
+def verified(clustered: DataFrame, docs: DataFrame, marked: DataFrame, distinct: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(u, v): links between members of a cluster (node, root) whose sets of distinct shingles have the similarity.
+
+    They connect what all such links would connect. Only texts of clustered nodes
+    are read. A cluster's sets are dealt to blocks, and every pair of its blocks
+    meets in a task; no pair of members becomes a row.
     """
-    ends = materialize(links.select(F.col("u").alias("node")).union(links.select("v")).distinct(), "ends")
-    wanted = marked.join(ends, "node", "left_semi").groupBy("node").agg(F.min("raw").alias("raw")).select("raw")
-    wanted = materialize(wanted.distinct(), "wanted")
+    clustered = materialize(clustered, "clusters")
+    wanted = marked.join(clustered.select("node"), "node", "left_semi").groupBy("node").agg(F.min("raw").alias("raw"))
+    wanted = materialize(wanted.select("raw").distinct(), "wanted")
     texts = _narrow(docs, docs.columns[0]).join(wanted, "raw", "left_semi").dropDuplicates(["raw"]).select("text")
     sets = texts.mapInArrow(lambda b: _shingle_sets(b, words), "node bigint, shingles array<bigint>")
-    sets = materialize(sets, "sets")
-    total = sets.agg(F.sum(F.size("shingles").cast("bigint"))).first()[0] or 0
-    blocks = F.lit(max(SET_BLOCKS, -(-8 * total // SET_BYTES)))
-    block = lambda c: F.pmod(F.xxhash64(c), blocks)
-    placed = links.select(F.least(block("u"), block("v")).alias("p"), F.greatest(block("u"), block("v")).alias("q"), "u", "v")
-    needed = placed.select("p", "q", F.explode(F.array("u", "v")).alias("node")).distinct()
-    none = F.lit(None)
-    laid = (
-        needed.join(sets, "node")
-        .select("p", "q", F.col("node").alias("u"), none.cast("bigint").alias("v"), "shingles")
-        .unionByName(placed.withColumn("shingles", none.cast("array<bigint>")))
+    held = distinct.select("node", "size", "sketch").join(clustered, "node").join(sets, "node")
+    held = materialize(held.select(F.col("root").alias("cluster"), "node", "size", "sketch", "shingles"), "sets")
+    blocks = F.greatest(F.ceil(F.count("*") / SET_ROWS), F.ceil(F.sum("size") * 8 / SET_BYTES)).cast("int")
+    large = materialize(held.groupBy("cluster").agg(blocks.alias("blocks")).where("blocks > 1"), "large")
+    placed = held.join(large, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = placed.select(
+        "cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "size", "sketch", "shingles"
     )
-    dealt = laid.repartition("p", "q").sortWithinPartitions("p", "q", F.col("v").isNotNull(), "u")
-    return dealt.mapInArrow(lambda b: _exactly_similar(b, similarity), "u bigint, v bigint")
+    dealt = dealt.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q")
+    return dealt.mapInArrow(lambda b: _verified(b, similarity), _EDGES)
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id") -> DataFrame:
     """(id, component): groups of texts linked by a Jaccard similarity of their shingle sets of ``similarity`` or more.
 
     Every piece of a sketch is an upper node, the masked pattern that its members
-    share. Members of a node are compared over the whole sketch, in Gray order and
-    by runs that share bits, and candidates by their shingle sets: first every
-    member with its nearest, which joins most groups without all of their pairs,
-    then all pairs still in different groups. Two texts at the similarity meet in
-    some node with probability 1 - ``MISSED``, short ones always.
+    share. Members of a node are compared in Gray order, by runs that share bits;
+    what is within the radius is connected to clusters, and inside a cluster the
+    shingle sets decide every link. Two texts at the similarity meet in some node
+    with probability 1 - ``MISSED``, short ones always.
     """
     layout = layout_for(docs.count(), similarity)
     marked = materialize(sketches(docs, layout, words, id_column, similarity), "sketches")
     named = marked.groupBy("node").agg(F.min("id").alias("least"))
     named = materialize(named, "named")
     distinct = materialize(marked.select("node", "size", "sketch", "pieces").dropDuplicates(["node"]), "distinct")
-    near = _nearest(distinct, similarity, layout)
-    one = near.where("u <> v").groupBy("v").agg(F.min(F.struct("bits", "u")).alias("to")).select(F.col("to.u").alias("u"), "v")
-    one = materialize(one, "one")
-    links = materialize(verified(one, docs, marked, words, similarity), "links")
-    roots = components(links).select("node", "root")
-    ends = materialize(near.select(F.col("u").alias("node")).union(near.select("v")).distinct(), "ends")
-    open_ = distinct.join(ends, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = _between(materialize(open_, "open"), similarity, layout).join(one, ["u", "v"], "left_anti")
-    links = links.union(materialize(verified(materialize(rest, "rest"), docs, marked, words, similarity), "links"))
+    links = materialize(verified(clusters(distinct, similarity), docs, marked, distinct, words, similarity), "links")
     linked = components(links).select(F.col("node"), "root")
     linked = materialize(linked.join(named, "node"), "linked")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))

@@ -186,3 +186,39 @@ def test_similar_groups_equal_exact_jaccard(spark, monkeypatch, node):
     texts_ = edge_corpus() + similar_corpus()
     got = {r["id"]: r["component"] for r in simhash.similar_groups(docs(spark, texts_)).collect()}
     assert [got[i] for i in range(len(texts_))] == exact_groups(texts_)
+
+
+@pytest.mark.parametrize("blocks", [512, 7])
+def test_one_large_group_similar_below_and_above(spark, monkeypatch, blocks):
+    """Copies of one text at all similarities: links within blocks and between them are found, others not."""
+    monkeypatch.setattr(simhash, "SET_ROWS", blocks)
+    monkeypatch.setattr(simhash, "NODE", 16)
+    rng = random.Random(31)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(250)]
+    texts_ = []
+    for k in range(160):
+        rate = (0.003, 0.01, 0.03, 0.06)[k % 4]
+        texts_.append(" ".join(f"n{rng.randrange(10**6)}" if rng.random() < rate else w for w in base))
+    texts_ += similar_corpus(4)[:60]
+    got = {r["id"]: r["component"] for r in simhash.similar_groups(docs(spark, texts_)).collect()}
+    want = exact_groups(texts_)
+    assert [got[i] for i in range(len(texts_))] == want
+    assert 10 < len(set(want[:160])) < 120
+
+
+def test_recall_at_the_threshold():
+    """Of 2,000 pairs between 0.8 and 0.85, by the sketches alone: all meet in a node and lie within the radius."""
+    rng = np.random.default_rng(6)
+    layout, missed = simhash.layout_for(10**6, 0.8), 0
+    for _ in range(2000):
+        n = int(rng.integers(80, 400))
+        union = rng.integers(0, 1 << 63, int(n / 0.8 * 0.999)).astype(np.uint64)
+        both = int(np.ceil(rng.uniform(0.8, 0.85) * len(union)))
+        cut = (both + len(union)) // 2
+        sets = [np.unique(union[:cut]), np.unique(np.concatenate([union[:both], union[cut:]]))]
+        packed = np.stack([np.packbits(simhash.sketch(x, layout.mixers), bitorder="little").view("<u8") for x in sets])
+        meet = (layout.pieces(packed)[0] == layout.pieces(packed)[1]).any()
+        sizes = np.array([len(x) for x in sets])
+        found = any(len(i) for i, _, _ in simhash.similar_pairs(packed[:, : simhash.SENT], sizes, np.array([0]), np.array([1]), 0.8))
+        missed += not (meet and found)
+    assert missed <= 2
