@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import scratch_path
+from ..storage import materialize, scratch_path
 
 MIN_SHARED = 1000
 ARCHIVE_BYTES = 256 << 20
@@ -71,14 +71,16 @@ def plan(pages: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
         F.coalesce("url", F.lit("")).alias("url"),
         F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("sha1", F.sha1("payload"))
-    # Digests and ids alone find the shared payloads, combined before the shuffle.
+    # Digests and ids alone find the shared payloads, combined before the shuffle. The list is written, so the
+    # planner knows its size: payloads stay where they are unless it is large.
     shared = (
         rows.where(F.octet_length("payload") >= min_shared)
         .groupBy("sha1")
         .agg(F.count("*").alias("n"), F.max("page_id").alias("target"))
         .where("n > 1")
-        .select("sha1", "target", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+        .select("sha1", "target")
     )
+    shared = materialize(shared, "shared").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int"))
     return salted.join(shared, ["sha1", "salt"], "left").select(
         "page_id",
