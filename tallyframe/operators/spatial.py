@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import materialize
 from .graph import components
 
 #: The 13 neighbour offsets after the origin; the other 13 are met from the other side.
 HALF = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
+#: The same for cells of which the second neighbours count, too.
+WIDE_HALF = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
 AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 
 
@@ -71,10 +74,39 @@ def near_pairs(points: DataFrame, others: DataFrame, radius: float) -> DataFrame
 
 
 def radius_components(points: DataFrame, radius: float) -> DataFrame:
-    """(entity, component): points within the radius of one another are connected."""
-    edges = near_pairs(points, points, radius).where("entity < other").select(F.col("entity").alias("u"), F.col("other").alias("v"))
-    roots = components(edges).select(F.col("node").alias("entity"), "root")
-    return points.select("entity").join(roots, "entity", "left").select("entity", F.coalesce("root", "entity").alias("component"))
+    """(entity, component): points within the radius of one another are connected.
+
+    Cells are so small that all points of one are connected. Neighbouring cells are
+    connected if two of their outermost points are near enough, and can't be if their
+    boxes are too far apart; points meet only for pairs of cells that are still in
+    different components after that, so a dense cell costs no pairs of its points.
+    """
+    placed = materialize(points.select("entity", "x", "y", "z", *cell(radius / math.sqrt(3) * (1 - 1e-9))), "placed")
+    at = F.struct("x", "y", "z")
+    ends = [f(at, c) for c in "xyz" for f in (F.min_by, F.max_by)]
+    box = [f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("low_", F.min), ("high_", F.max))]
+    cells = placed.groupBy("vx", "vy", "vz").agg(F.min("entity").alias("node"), F.count("*").alias("n"), F.array_distinct(F.array(*ends)).alias("ends"), *box)
+    cells = materialize(cells.withColumn("all", F.col("n") == F.size("ends")), "cells")
+    names = ["ends", "all", *(f"{n}_{c}" for c in "xyz" for n in ("low", "high"))]
+    left = cells.select(F.col("node").alias("u"), *(F.col(n).alias(f"u_{n}") for n in names), "vx", "vy", "vz", _offsets(WIDE_HALF).alias("o"))
+    left = left.select("u", *(f"u_{n}" for n in names), *((F.col(f"v{c}") + F.col(f"o.{c}")).alias(f"v{c}") for c in "xyz"))
+    near = left.join(cells.withColumnRenamed("node", "v"), ["vx", "vy", "vz"])
+    gap = [F.greatest(F.lit(0.0), F.col(f"u_low_{c}") - F.col(f"high_{c}"), F.col(f"low_{c}") - F.col(f"u_high_{c}")) for c in "xyz"]
+    square = lambda p, q: sum((p[c] - q[c]) * (p[c] - q[c]) for c in "xyz")
+    touch = F.exists("u_ends", lambda p: F.exists("ends", lambda q: square(p, q) <= radius * radius))
+    pairs = near.where(sum(g * g for g in gap) <= radius * radius).select("u", "v", touch.alias("touch"), (F.col("u_all") & F.col("all")).alias("all"))
+    pairs = materialize(pairs.where(F.col("touch") | ~F.col("all")), "cell_pairs")
+    sure = pairs.where("touch").select("u", "v")
+    roots = materialize(components(sure), "roots")
+    root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    open_ = pairs.where("not touch").join(root("u"), "u", "left").join(root("v"), "v", "left")
+    open_ = materialize(open_.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v"), "open")
+    named = placed.join(cells.select("vx", "vy", "vz", "node"), ["vx", "vy", "vz"])
+    side = lambda end: named.select(F.col("node").alias(end), F.struct("x", "y", "z").alias(f"at_{end}"))
+    met = open_.join(side("u"), "u").join(side("v"), "v").where(square(F.col("at_u"), F.col("at_v")) <= radius * radius).select("u", "v").distinct()
+    linked = roots if open_.isEmpty() else components(sure.union(met)).select("node", "root")
+    nowhere = placed.where(F.col("vx").isNull() | F.col("vy").isNull() | F.col("vz").isNull()).select("entity", F.col("entity").alias("component"))
+    return named.join(linked, "node", "left").select("entity", F.coalesce("root", "node").alias("component")).union(nowhere)
 
 
 def nearest(points: DataFrame, others: DataFrame, k: int, radius: float) -> DataFrame:

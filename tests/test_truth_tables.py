@@ -292,6 +292,25 @@ def test_budget_skips_what_does_not_fit(spark):
     assert {r["item"]: r["kept"] for r in greedy.within_budget(df, 7).collect()} == {"a": True, "b": False, "c": True}
 
 
+def test_radius_components_of_dense_and_sparse_points(spark):
+    """Clumps, chains and stray points; 20,000 points in one clump cost no pairs."""
+    rng = random.Random(17)
+    blob = lambda n, at, width: [[c + rng.uniform(-width, width) for c in at] for _ in range(n)]
+    spots = blob(60, (0, 0, 0), 0.2) + blob(40, (0.9, 0, 0), 0.3) + blob(60, (3, 3, 3), 1.2) + [[0.5 + 0.24 * k, 5.0, -2.0] for k in range(12)] + [[0.0, 0.0, 0.0]] * 3
+    for radius in (0.12, 0.6):
+        root = list(range(len(spots)))
+        for i in range(len(spots)):
+            for j in range(i):
+                if math.dist(spots[i], spots[j]) <= radius:
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if r == high else r for r in root]
+        df = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)] + [(9999, None, 1.0, 1.0)], "entity long, x double, y double, z double")
+        got = {r["entity"]: r["component"] for r in sp.radius_components(df, radius).collect()}
+        assert got.pop(9999) == 9999 and [got[i] for i in range(len(spots))] == root
+    dense = spark.range(20000).select(F.col("id").alias("entity"), *((F.rand(k) * 0.4).alias(c) for k, c in enumerate("xyz")))
+    assert {r["component"] for r in sp.radius_components(dense, 0.3).collect()} == {0}
+
+
 def test_cycles_and_terminals(spark):
     edges = lambda e: spark.createDataFrame(e, "child long, parent long")
     assert graph.cycles(edges([(1, 2), (2, 3), (4, 2)])).count() == 0
