@@ -22,6 +22,8 @@ from .graph import components
 HALF = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
 #: The same for cells of which the second neighbours count, too.
 WIDE_HALF = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
+#: Pairs of a camera and a point for a task, and the number of tasks that may get a copy of the points.
+VIEW_PAIRS, VIEW_PARTS = 200_000_000, 64
 AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 
 
@@ -204,3 +206,52 @@ def projected(focal: float, width: float, height: float) -> tuple[Column, Column
     v = F.when(front, F.lit(height / 2) + focal * dy / F.when(front, depth))
     inside = F.coalesce(front & (u >= 0) & (u < width) & (v >= 0) & (v < height), F.lit(False))
     return u, v, depth, inside
+
+
+def view_statistics(points: DataFrame, cameras: DataFrame, focal: float, width: float, height: float, quantile: float | None = None) -> DataFrame:
+    """(observer, front, inside, depth): the shares of points in front of its cameras and inside their images, and the quantile of the depths, if any.
+
+    Every camera meets every point, but no row is made for a pair: the points' coordinates go to each of at most
+    ``VIEW_PARTS`` parts of the cameras, and a task holds them (24 bytes a point) and takes its cameras one at a time.
+    """
+    parts = max(1, min(VIEW_PARTS, math.ceil(points.count() * cameras.count() / VIEW_PAIRS)))
+
+    def run(mine: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+        # A point without x or z has no depth; it still counts among those that an image could show.
+        placed = seen[seen["placed"]]
+        x, y, z = (placed[c].to_numpy(float) for c in "xyz")
+        rows = []
+        with np.errstate(all="ignore"):
+            for observer, own in mine.groupby("observer", sort=False, dropna=False) if len(seen) else ():
+                front = inside = 0
+                depths = []
+                for px, py, pz, yaw in own.loc[own["posed"], ["px", "py", "pz", "yaw"]].to_numpy(float) if len(x) else ():
+                    cos, sin = (math.cos(yaw), math.sin(yaw)) if math.isfinite(yaw) else (math.nan, math.nan)
+                    dx, dz = x - px, z - pz
+                    depth = cos * dz + sin * dx
+                    ahead = ~(depth <= 1e-6)  # Spark and SQL take NaN for the largest number
+                    depths.append(depth)
+                    front += np.count_nonzero(ahead)
+                    if ahead.any():
+                        far = depth[ahead]
+                        v = height / 2 + focal * (y[ahead] - py) / far
+                        within = (v >= 0) & (v < height)
+                        if within.any():
+                            u = width / 2 + focal * (cos * dx[ahead][within] - sin * dz[ahead][within]) / far[within]
+                            inside += np.count_nonzero((u >= 0) & (u < width))
+                n = sum(map(len, depths))
+                bound = None
+                if n and quantile is not None:
+                    at = (n - 1) * quantile
+                    low = math.floor(at)
+                    ranked = np.partition(np.concatenate(depths), [low, min(low + 1, n - 1)])
+                    bound = ranked[low] if at == low else (low + 1 - at) * ranked[low] + (at - low) * ranked[low + 1]
+                rows.append((observer, front / n if n else None, inside / (len(own) * len(seen)), bound))
+        out = pd.DataFrame(rows, columns=["observer", "front", "inside", "depth"])
+        return out.astype({"front": float, "inside": float, "depth": float})
+
+    posed = F.col("px").isNotNull() & F.col("pz").isNotNull() & F.col("yaw").isNotNull()
+    eyes = cameras.select(F.pmod(F.xxhash64("observer"), F.lit(parts)).alias("part"), "observer", "px", "py", "pz", "yaw", posed.alias("posed"))
+    places = points.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"), "x", "y", "z", (F.col("x").isNotNull() & F.col("z").isNotNull()).alias("placed"))
+    kind = dict(cameras.dtypes)["observer"]
+    return eyes.groupBy("part").cogroup(places.groupBy("part")).applyInPandas(run, f"observer {kind}, front double, inside double, depth double")

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from ..operators import labels as lb
 from ..operators import spatial as op
 from ..sources.encodings import C1, P1, cameras, points
+from ..storage import materialize
 from .registry import query
 
 SIZE = 0.1
@@ -221,9 +222,7 @@ METRIC = f"WITH {C1}, {P1}, {PROJ}, m AS (SELECT observer, avg(CAST(depth > 1e-6
 
 
 def _metrics(spark, d):
-    return _projected(spark, d).groupBy("observer").agg(
-        F.avg((F.col("depth") > 1e-6).cast("double")).alias("front"), F.avg(F.col("inside").cast("double")).alias("inside"), F.percentile("depth", 0.01).alias("z01")
-    )
+    return op.view_statistics(points(spark, d), cameras(spark, d), 200.0, 640.0, 480.0, 0.01).select("observer", "front", "inside", F.col("depth").alias("z01"))
 
 
 @query("MTH13 MTH21 X27 X45 MTH15", f"{METRIC} SELECT observer, round(front, 6) AS front, round(inside, 6) AS inside, round(z01, 4) AS z01 FROM m")
@@ -237,7 +236,7 @@ def projection_metrics(spark, d):
 SELECT observer, concat_ws(',', CASE WHEN front < front0 THEN 'front' END, CASE WHEN z01 < z0 THEN 'z_q01' END) AS reasons FROM m, b""",
 )
 def projection_rejections(spark, d):
-    m = _metrics(spark, d)
+    m = materialize(_metrics(spark, d), "views")
     bounds = m.where("observer % 3 = 0").agg((F.min("front") - 0.05).alias("front0"), (F.min("z01") - 1).alias("z0"))
     reasons = F.array_compact(F.array(F.when(F.col("front") < F.col("front0"), "front"), F.when(F.col("z01") < F.col("z0"), "z_q01")))
     return m.crossJoin(F.broadcast(bounds)).select("observer", F.array_join(reasons, ",").alias("reasons"))
