@@ -212,12 +212,6 @@ PROJ = """pr AS (SELECT observer, entity, cos(yaw) * (z - pz) + sin(yaw) * (x -
 uv AS (SELECT observer, entity, depth, CASE WHEN depth > 1e-6 THEN 320 + 200 * side / depth END AS u, CASE WHEN depth > 1e-6 THEN 240 + 200 * dy / depth END AS v FROM pr)"""
 
 
-def _projected(spark, d):
-    u, v, depth, inside = op.projected(200.0, 640.0, 480.0)
-    # Each camera sees all points: cameras are the queries, some hundreds a scene, and points stay where they are.
-    return points(spark, d).crossJoin(cameras(spark, d)).select("observer", "entity", depth.alias("depth"), u.alias("u"), v.alias("v"), inside.alias("inside"))
-
-
 METRIC = f"WITH {C1}, {P1}, {PROJ}, m AS (SELECT observer, avg(CAST(depth > 1e-6 AS DOUBLE)) AS front, avg(CAST(coalesce(u >= 0 AND u < 640 AND v >= 0 AND v < 480, false) AS DOUBLE)) AS inside, quantile_cont(depth, 0.01) AS z01 FROM uv GROUP BY 1)"
 
 
@@ -249,9 +243,14 @@ g AS (SELECT observer, avg(CAST(inside AS DOUBLE)) AS fraction, quantile_cont(u,
 SELECT observer, round(fraction, 6) AS fraction, round(u0, 3) AS u0, round(u1, 3) AS u1 FROM g WHERE fraction >= 0.02 ORDER BY g.fraction DESC, observer LIMIT 6""",
 )
 def view_prompts(spark, d):
-    g = _projected(spark, d).groupBy("observer").agg(F.avg(F.col("inside").cast("double")).alias("fraction"), F.percentile(F.when(F.col("inside"), F.col("u")), [0.05, 0.95]).alias("q"))
-    top = g.where("fraction >= 0.02").orderBy(F.desc("fraction"), "observer").limit(6)
-    return top.select("observer", F.round("fraction", 6).alias("fraction"), F.round(F.get("q", F.lit(0)), 3).alias("u0"), F.round(F.get("q", F.lit(1)), 3).alias("u1"))
+    p, c = points(spark, d), cameras(spark, d)
+    g = op.view_statistics(p, c, 200.0, 640.0, 480.0).select("observer", F.col("inside").alias("fraction"))
+    top = materialize(g.where("fraction >= 0.02").orderBy(F.desc("fraction"), "observer").limit(6), "top")
+    # Only the six views that are returned need their boxes.
+    u, _, _, inside = op.projected(200.0, 640.0, 480.0)
+    seen = p.crossJoin(F.broadcast(c.join(F.broadcast(top), "observer"))).where(inside)
+    g = seen.groupBy("observer", "fraction").agg(F.percentile(u, [0.05, 0.95]).alias("q"))
+    return g.orderBy(F.desc("fraction"), "observer").select("observer", F.round("fraction", 6).alias("fraction"), F.round(F.get("q", F.lit(0)), 3).alias("u0"), F.round(F.get("q", F.lit(1)), 3).alias("u1"))
 
 
 @query("MTH8 X34", "SELECT s_suppkey AS grp, CAST(CASE WHEN s_nationkey % 2 = 0 OR s_nationkey / 25.0 >= 0.6 THEN ceil((CASE WHEN s_nationkey % 2 = 0 THEN 50 ELSE 100 END) * greatest(0.5, 1 - s_nationkey / 25.0 / 2)) ELSE 100 END AS BIGINT) AS minimum FROM supplier")

@@ -59,3 +59,7 @@ def test_view_statistics(spark, monkeypatch):
 def test_projection_rejections_make_no_row_for_each_pair(spark, sf_dir):
     assert no_row_for_each_pair(plans._metrics(spark, sf_dir))
     assert "/views" in plan(registry.load()["projection_rejections"][0](spark, sf_dir))
+
+
+def test_view_prompts_rank_views_before_their_boxes(spark, sf_dir):
+    assert "/top" in plan(registry.load()["view_prompts"][0](spark, sf_dir))
