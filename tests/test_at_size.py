@@ -63,3 +63,7 @@ def test_projection_rejections_make_no_row_for_each_pair(spark, sf_dir):
 
 def test_view_prompts_rank_views_before_their_boxes(spark, sf_dir):
     assert "/top" in plan(registry.load()["view_prompts"][0](spark, sf_dir))
+
+
+def test_projection_metrics_make_no_row_for_each_pair(spark, sf_dir):
+    assert no_row_for_each_pair(registry.load()["projection_metrics"][0](spark, sf_dir))
