@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +25,8 @@ HALF = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if
 WIDE_HALF = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
 #: Pairs of a camera and a point for a task, and the number of tasks that may get a copy of the points.
 VIEW_PAIRS, VIEW_PARTS = 200_000_000, 64
+#: Points of a leaf, within which all distances are taken.
+LEAF = 512
 AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 
 
@@ -117,6 +120,81 @@ def nearest(points: DataFrame, others: DataFrame, k: int, radius: float) -> Data
     return near_pairs(points, others, radius).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def _nearest_squares(at: np.ndarray, names: np.ndarray, to: np.ndarray, other: np.ndarray, k: int, bound: np.ndarray) -> np.ndarray:
+    """Per row of ``at``: the k least squared distances within its bound to points of another name; infinite where there are fewer."""
+    with np.errstate(over="ignore"):
+        dx, dy, dz = (at[:, None, c] - to[None, :, c] for c in range(3))
+        square = dx * dx + dy * dy + dz * dz
+    square[(square > bound[:, None]) | (names[:, None] == other[None, :])] = np.inf
+    if square.shape[1] < k:
+        square = np.pad(square, ((0, 0), (0, k - square.shape[1])), constant_values=np.inf)
+    return np.sort(np.partition(square, k - 1, axis=1)[:, :k], axis=1)
+
+
+def neighbour_distance(points: DataFrame, k: int, radius: float) -> DataFrame:
+    """(entity, distance): how far the k-th nearest other point is, for entities that have k within the radius.
+
+    Points in the order of a space-filling curve are cut into leaves. The k-th distance within its leaf bounds how
+    far a point has to look, and it visits only leaves whose boxes are nearer than that, so the work follows the
+    points' own density, whatever the radius. Of points in one place, as many go on as can matter to any other.
+    """
+    placed = points.select("entity", "x", "y", "z").where("entity is not null")
+    placed = placed.where((F.abs("x") < math.inf) & (F.abs("y") < math.inf) & (F.abs("z") < math.inf))
+    again, place = Window.partitionBy("x", "y", "z", "entity").orderBy("entity"), Window.partitionBy("x", "y", "z").orderBy("entity")
+    few = placed.withColumn("n", F.row_number().over(again)).where(F.col("n") <= k).withColumn("n", F.dense_rank().over(place)).where(F.col("n") <= k + 1)
+    ends = placed.agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in "xyz")).first()
+    low, high = (np.array([ends[f"{f}_{c}"] or 0.0 for c in "xyz"]) for f in ("min", "max"))
+
+    def keyed(batches):
+        for b in batches:
+            with np.errstate(all="ignore"):
+                share = np.nan_to_num((b[["x", "y", "z"]].to_numpy(float) - low) / np.where(high > low, high - low, 1.0))
+            steps = (share * (2**52 - 1)).astype(">u8", order="C").view(np.uint8).reshape(len(b), 3, 8)
+            bits = np.unpackbits(steps, axis=2).transpose(0, 2, 1).reshape(len(b), 192)
+            yield b.assign(curve=[row.tobytes() for row in np.packbits(bits, axis=1)])[["entity", "x", "y", "z", "curve"]]
+
+    def leaves(batches):
+        number = TaskContext.get().partitionId() << 32
+        for b in batches:
+            for start in range(0, len(b), LEAF):
+                own = b.iloc[start : start + LEAF]
+                at, names = own[["x", "y", "z"]].to_numpy(float), own["entity"].to_numpy()
+                found = _nearest_squares(at, names, at, names, k, np.full(len(own), radius * radius))
+                yield own[["entity", "x", "y", "z"]].assign(leaf=number, reach=np.minimum(found[:, -1], radius * radius), near=[list(np.sqrt(r[r < np.inf])) for r in found])
+                number += 1
+
+    kind = dict(points.dtypes)["entity"]
+    curve = materialize(few.select("entity", "x", "y", "z").mapInPandas(keyed, f"entity {kind}, x double, y double, z double, curve binary"), "curve")
+    order = curve.repartitionByRange("curve").sortWithinPartitions("curve")
+    leaf = materialize(order.mapInPandas(leaves, f"entity {kind}, x double, y double, z double, leaf long, reach double, near array<double>"), "leaves")
+
+    boxes = materialize(leaf.groupBy("leaf").agg(F.max("reach").alias("reach"), *(f(c).alias(f"{n}_{c}") for n, f in (("low", F.min), ("high", F.max)) for c in "xyz")), "boxes")
+    gap = lambda low, high: sum(g * g for g in (F.greatest(F.lit(0.0), F.col(f"low_{c}") - high(c), low(c) - F.col(f"high_{c}")) for c in "xyz"))
+    mine = boxes.select(F.col("leaf").alias("home"), F.col("reach").alias("far"), *(F.col(f"{n}_{c}").alias(f"{n}{c}") for n in ("low", "high") for c in "xyz"))
+    beside = mine.crossJoin(boxes.drop("reach")).where((F.col("home") != F.col("leaf")) & (gap(lambda c: F.col(f"low{c}"), lambda c: F.col(f"high{c}")) <= F.col("far")))
+    beside = beside.select("home", "leaf", *(f"{n}_{c}" for n in ("low", "high") for c in "xyz"))
+    visits = leaf.withColumnRenamed("leaf", "home").join(beside, "home").where(gap(F.col, F.col) <= F.col("reach")).select("leaf", "entity", "x", "y", "z", "reach")
+
+    def visited(guests: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        to, other, out = own[["ox", "oy", "oz"]].to_numpy(float), own["other"].to_numpy(), []
+        for start in range(0, len(guests), 4 * LEAF):
+            some = guests.iloc[start : start + 4 * LEAF]
+            names = some["entity"].to_numpy()
+            found = _nearest_squares(some[["x", "y", "z"]].to_numpy(float), names, to, other, k, some["reach"].to_numpy())
+            row, column = np.nonzero(found < np.inf)
+            out.append(pd.DataFrame({"entity": names[row], "distance": np.sqrt(found[row, column])}))
+        return pd.concat(out) if out else pd.DataFrame({"entity": other[:0], "distance": np.empty(0)})
+
+    hosts = leaf.select(F.col("leaf").alias("host"), F.col("entity").alias("other"), *(F.col(c).alias(f"o{c}") for c in "xyz"))
+    others = visits.groupBy("leaf").cogroup(hosts.groupBy("host")).applyInPandas(visited, f"entity {kind}, distance double")
+    # Where more than k entities share a place, each has k others at no distance, also those that went no further.
+    crowded = leaf.groupBy("x", "y", "z").agg(F.countDistinct("entity").alias("n")).where(F.col("n") > k).select("x", "y", "z")
+    same = placed.join(crowded, ["x", "y", "z"], "left_semi").select("entity", F.explode(F.array_repeat(F.lit(0.0), k)).alias("distance"))
+    found = leaf.select("entity", F.explode("near").alias("distance")).union(others).union(same)
+    nth = F.row_number().over(Window.partitionBy("entity").orderBy("distance"))
+    return found.withColumn("place", nth).where(F.col("place") <= k).where(F.col("place") == k).select("entity", "distance")
+
+
 def consistent_neighbours(found: DataFrame, labels: DataFrame, target: Column, min_same: int, min_fraction: float, max_ratio: float) -> DataFrame:
     """Per entity: neighbours of the target class, their share, and whether the nearest of them is near enough
     compared with the nearest of another class."""

@@ -129,9 +129,7 @@ def knn_guard(spark, d):
 
 @query("MTH31", f"WITH {P1}, {NEAR.format(a='points', b='points', r=0.2)}, k AS (SELECT entity, distance FROM near WHERE entity <> other QUALIFY row_number() OVER (PARTITION BY entity ORDER BY round(distance, 9), other) = 3) SELECT count(*) AS n, round(quantile_cont(distance, 0.5), 6) AS spacing FROM k")
 def local_spacing(spark, d):
-    p = points(spark, d)
-    found = op.near_pairs(p, p, 0.2).where("entity <> other")
-    third = found.withColumn("place", F.row_number().over(Window.partitionBy("entity").orderBy(F.round("distance", 9), "other"))).where("place = 3")
+    third = op.neighbour_distance(points(spark, d), 3, 0.2)
     return third.agg(F.count("*").alias("n"), F.round(F.percentile("distance", 0.5), 6).alias("spacing"))
 
 

@@ -67,3 +67,30 @@ def test_view_prompts_rank_views_before_their_boxes(spark, sf_dir):
 
 def test_projection_metrics_make_no_row_for_each_pair(spark, sf_dir):
     assert no_row_for_each_pair(registry.load()["projection_metrics"][0](spark, sf_dir))
+
+
+def test_neighbour_distance(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "LEAF", 16)
+    rng = random.Random(6)
+    points = [(k, *(rng.gauss(0, 1) for _ in "xyz")) for k in range(150)]
+    points += [(150 + k, *(1 + rng.uniform(0, 1e-6) for _ in "xyz")) for k in range(60)]
+    points += [(300 + k, 0.5, -0.0 if k % 2 else 0.0, 0.5) for k in range(40)] + [(400 + k, 2.0, 2.0, 2.0 + k / 8) for k in range(3)]
+    points += [(5, 9.0, 9.0, 9.0), (5, 9.0, 9.0, 9.0), (350, 9.0, 9.0, 9.1), (351, 9.0, 9.0, 9.2), (500, 1e9, 0.0, 0.0)]
+    points += [(501, None, 0.0, 0.0), (502, float("nan"), 0.0, 0.0), (503, float("inf"), 0.0, 0.0), (None, 0.5, 0.0, 0.5)]
+    found = spatial.neighbour_distance(spark.createDataFrame(points, POINTS), 3, 0.7)
+    got = {r["entity"]: r["distance"] for r in found.collect()}
+    near = {}
+    for e, *p in points:
+        for o, *q in points:
+            if None not in (e, o, *p, *q) and e != o:
+                dx, dy, dz = (a - b for a, b in zip(p, q, strict=True))
+                square = dx * dx + dy * dy + dz * dz
+                if square <= 0.7 * 0.7:
+                    near.setdefault(e, []).append(math.sqrt(square))
+    want = {e: sorted(v)[2] for e, v in near.items() if len(v) >= 3}
+    assert got.keys() == want.keys()
+    assert got == want and 150 < len(want) < len({p[0] for p in points})
+
+
+def test_local_spacing_visits_near_leaves_only(spark, sf_dir):
+    assert "/leaves" in plan(registry.load()["local_spacing"][0](spark, sf_dir))
