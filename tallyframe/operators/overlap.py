@@ -6,12 +6,19 @@ from an equi-join on (concept, entity), so only regions that share something mee
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import materialize, release
 from .graph import components
 
+#: Rows of pairs that a round makes, so that they fit the disk beside the tables; hits asked for beyond what may be missing.
+ROUND_PAIRS, HITS = 40_000_000, 10
+
 
 def totals(regions: DataFrame) -> DataFrame:
     return regions.groupBy("region").agg(F.sum("weight").alias("weight"), F.count("*").alias("size"))
@@ -96,3 +103,54 @@ def disjoint_in_view(regions: DataFrame, max_iou: float) -> DataFrame:
     j = j.join(t.select(F.col("region").alias("a"), F.col("size").alias("na")), "a").join(t.select(F.col("region").alias("b"), F.col("size").alias("nb")), "b")
     shared = F.coalesce("shared", F.lit(0))
     return j.where(shared / (F.col("na") + F.col("nb") - shared) <= max_iou).select("a", "b", "view", "concept")
+
+
+def _in_rounds(left: DataFrame, key: str, pairs: int, found, name: str) -> DataFrame:
+    """``found`` of every part of ``left``, one after the other; what a round shuffles is let go before the next."""
+    rounds, out = max(1, math.ceil(pairs / ROUND_PAIRS)), []
+    for k in range(rounds):
+        out.append(materialize(found(left.where(F.pmod(F.xxhash64(key), F.lit(rounds)) == k)), name))
+        if rounds > 1:
+            release(left.sparkSession)
+    return reduce(DataFrame.union, out)
+
+
+def alike(regions: DataFrame, threshold: float) -> DataFrame:
+    """(part, a, b): regions a < b of a concept whose weighted Jaccard similarity reaches the threshold."""
+    left = regions.select(F.col("concept").alias("part"), "entity", F.col("region").alias("a"), F.col("weight").alias("wa"))
+    right = regions.select(F.col("concept").alias("part"), "entity", F.col("region").alias("b"), F.col("weight").alias("wb"))
+    t = totals(regions)
+    ta, tb = (t.select(F.col("region").alias(n), F.col("weight").alias(f"t{n}")) for n in "ab")
+    likeness = F.col("low") / (F.col("ta") + F.col("tb") - F.col("low"))
+
+    def found(some):
+        low = some.join(right, ["part", "entity"]).where("a < b").groupBy("part", "a", "b").agg(F.sum(F.least("wa", "wb")).alias("low"))
+        return low.join(ta, "a").join(tb, "b").where(likeness >= threshold).select("part", "a", "b")
+
+    n = left.groupBy("part", "entity").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0]
+    return _in_rounds(left, "a", int(n or 0), found, "alike")
+
+
+def contained(regions: DataFrame, share: float) -> DataFrame:
+    """The regions of whose entities at least the share lie in one larger region.
+
+    Such a region misses few of its entities there, so of its rarest ones, a few more than it may miss, the larger region
+    has those few. Only regions that meet so often are compared whole; frequent entities bring no regions together.
+    """
+    sized = regions.select("region", "entity").join(regions.groupBy("region").agg(F.count("*").alias("size")), "region")
+    often = regions.groupBy("entity").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("often", "entity"))
+    missed = F.floor(F.col("na") * F.lit(1 - share) + 1e-6)
+    rows = sized.join(often, "entity").select(F.col("region").alias("a"), "entity", F.col("size").alias("na"), "often").withColumn("rank", rank)
+    rare = materialize(rows.where(F.col("rank") <= missed + HITS).select("a", "entity", "na", "often"), "rare")
+    larger = materialize(sized.select(F.col("region").alias("b"), "entity", F.col("size").alias("nb")), "larger")
+
+    def found(some):
+        hits = some.join(larger, "entity").where("na < nb").groupBy("a", "b", "na").agg(F.count("*").alias("hits"))
+        return hits.where(F.col("hits") >= F.least(F.col("na"), missed + HITS) - missed).select("a", "b", "na")
+
+    n = rare.agg(F.sum("often")).first()[0]
+    met = _in_rounds(rare, "a", int(n or 0), found, "met")
+    shared = met.join(regions.select(F.col("region").alias("a"), "entity"), "a").join(larger.select("b", "entity"), ["b", "entity"])
+    whole = shared.groupBy("a", "b", "na").agg(F.count("*").alias("shared"))
+    return whole.where(F.col("shared") / F.col("na") >= share).select(F.col("a").alias("region")).distinct()

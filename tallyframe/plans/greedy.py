@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..operators import greedy as op
 from ..operators import overlap as ov
 from ..sources.encodings import cameras, regions, table
+from ..storage import materialize
 from .overlap import _similar
 from .registry import query
 from .stats import _boxes
@@ -48,19 +49,13 @@ def suppressed_boxes(spark, d):
 @query("TOP4", None)
 def contained_masks(spark, d):
     """Masks that lie to nine tenths in a larger one go, the rest of a concept is suppressed greedily by overlap."""
-    rows = regions(spark, d)
-    sim = ov.similarities(ov.pairs(rows, False, False), rows)
+    rows = materialize(regions(spark, d).select("region", "concept", "entity", "weight"), "regions")
     size = ov.totals(rows).select("region", "size")
-    j = sim.join(size.select(F.col("region").alias("a"), F.col("size").alias("na")), "a").join(size.select(F.col("region").alias("b"), F.col("size").alias("nb")), "b")
-    inner = F.when((F.col("in_a") >= 0.9) & (F.col("na") < F.col("nb")), F.col("a")).when((F.col("in_b") >= 0.9) & (F.col("nb") < F.col("na")), F.col("b"))
-    gone = j.select(inner.alias("region")).where("region is not null").distinct()
     concept = rows.select("region", F.col("concept").alias("part")).distinct()
-    left = size.join(gone, "region", "left_anti").join(concept, "region")
+    left = size.join(ov.contained(rows, 0.9), "region", "left_anti").join(concept, "region")
     place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("size"), "region"))
     nodes = left.select("part", F.col("region").alias("node"), place.alias("place"), "size")
-    near = sim.where("jaccard >= 0.2").join(concept.withColumnRenamed("region", "a"), "a")
-    near = near.join(concept.select(F.col("region").alias("b"), F.col("part").alias("other")), "b").where("part = other").select("part", "a", "b")
-    return nodes.join(op.first_come(nodes, near), ["part", "node"]).select(F.col("node").alias("region"), "part", "size")
+    return nodes.join(op.first_come(nodes, ov.alike(rows, 0.2)), ["part", "node"]).select(F.col("node").alias("region"), "part", "size")
 
 
 @query("TOP7 MTH11", None)

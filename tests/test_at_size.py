@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tallyframe.operators import spatial
+from tallyframe.operators import overlap, spatial
 from tallyframe.plans import registry
 from tallyframe.plans import spatial as plans
 
@@ -94,3 +94,31 @@ def test_neighbour_distance(spark, monkeypatch):
 
 def test_local_spacing_visits_near_leaves_only(spark, sf_dir):
     assert "/leaves" in plan(registry.load()["local_spacing"][0](spark, sf_dir))
+
+
+def test_contained_and_alike_regions(spark, monkeypatch):
+    """In rounds, with an entity that all regions share, copies, and regions inside larger ones."""
+    monkeypatch.setattr(overlap, "ROUND_PAIRS", 2000)
+    monkeypatch.setattr(overlap, "HITS", 2)
+    rng = random.Random(7)
+    sets = {r: {0, *rng.sample(range(1, 80), rng.randrange(1, 40))} for r in range(60)}
+    for r in range(60, 90):
+        own = sorted(sets[rng.randrange(60)])
+        sets[r] = {*rng.sample(own, max(1, round(len(own) * rng.choice([0.5, 1])))), *rng.sample(range(100, 300), rng.randrange(4))}
+    weight = {(r, e): float(rng.randrange(1, 9)) for r, own in sets.items() for e in own}
+    rows = spark.createDataFrame([(r, r % 3, e, w) for (r, e), w in weight.items()], "region long, concept int, entity long, weight double")
+    want = {a for a in sets for b in sets if len(sets[a]) < len(sets[b]) and len(sets[a] & sets[b]) / len(sets[a]) >= 0.9}
+    assert {r["region"] for r in overlap.contained(rows, 0.9).collect()} == want and 5 < len(want) < 85
+    like = set()
+    for a in sets:
+        for b in sets:
+            low = sum(min(weight[a, e], weight[b, e]) for e in sets[a] & sets[b])
+            total = sum(weight[r, e] for r in (a, b) for e in sets[r])
+            if a < b and a % 3 == b % 3 and low / (total - low) >= 0.2:
+                like.add((a % 3, a, b))
+    assert {tuple(r) for r in overlap.alike(rows, 0.2).select("part", "a", "b").collect()} == like and len(like) > 20
+
+
+def test_contained_masks_aggregates_no_pairs_of_other_concepts(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(overlap, "pairs", lambda *a, **b: pytest.fail("a row for each pair of regions that share an entity"))
+    assert registry.load()["contained_masks"][0](spark, sf_dir).count() == 2
