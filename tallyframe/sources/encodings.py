@@ -2,15 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import materialize
+
+#: Groups of a bound that are sent to every task, so that the table isn't shuffled to find their rows.
+BROADCAST_GROUPS = 200_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored_sums(rows: DataFrame, keys: list[str], value: str, close: DataFrame) -> DataFrame:
+    """(keys, n, exact) of the groups that match ``close`` on its columns: sums of doubles, added in the order in which the rows are stored.
+
+    A sum of doubles depends on its order in the last digits, and so does a decision on a sum or mean that lies on a bound.
+    SQL adds the rows as they are stored if one thread runs it. Only groups that lie on a bound should be put in order,
+    since all their rows go to one task; ``rows`` come straight from files and hold ``_metadata``.
+    """
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_value"), *place)
+    close = materialize(close, "close")
+    few = F.broadcast(close) if close.count() <= BROADCAST_GROUPS else close
+    ordered = matched(rows, few, close.columns, "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_file", "_row", "_value"))).alias("_rows"))
+    return ordered.select(*keys, F.size("_rows").alias("n"), F.aggregate("_rows", F.lit(0.0), lambda s, r: s + r["_value"]).alias("exact"))
+
+
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on keys that may be null; the left's columns, and the right's others after them."""
+    same = reduce(Column.__and__, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+    others = [] if how == "left_semi" else [f"r.{c}" for c in right.columns if c not in keys]
+    return left.alias("l").join(right.alias("r"), same, how).select("l.*", *others)
+
+
+def stored_means(rows: DataFrame, keys: list[str], value: str, near: Callable[[Column], Column]) -> DataFrame:
+    """(keys, mean): means of doubles; those that are ``near`` a bound have their rows added in the order in which they are stored."""
+    means = rows.groupBy(*keys).agg(F.avg(value).alias("mean"))
+    exact = stored_sums(rows, keys, value, means.where(near(F.col("mean"))).select(*keys))
+    exact = exact.select(*keys, (F.col("exact") / F.col("n")).alias("exact"))
+    return matched(means, exact, keys, "left").select(*keys, F.coalesce("exact", "mean").alias("mean"))
+
+
 def class_ids(df: DataFrame, column: str) -> DataFrame:
     """(column, class_id): ids from 1 in the order of the names; a small dimension."""
     names = df.select(column).distinct()

@@ -3,7 +3,10 @@
 import math
 import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tallyframe.operators import overlap, spatial
@@ -122,3 +125,36 @@ def test_contained_and_alike_regions(spark, monkeypatch):
 def test_contained_masks_aggregates_no_pairs_of_other_concepts(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(overlap, "pairs", lambda *a, **b: pytest.fail("a row for each pair of regions that share an entity"))
     assert registry.load()["contained_masks"][0](spark, sf_dir).count() == 2
+
+
+@pytest.fixture
+def in_pieces(spark, tmp_path):
+    """Writes a table in many row groups that Spark reads in many tasks, and compares a query with its SQL, run by one thread."""
+    conf = {"spark.sql.files.maxPartitionBytes": "2k", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+
+    def check(query, name, columns):
+        pq.write_table(pa.table(columns), tmp_path / f"{name}.parquet", row_group_size=200)
+        run, _, sql = registry.load()[query]
+        df = run(spark, str(tmp_path))
+        con = duckdb.connect(config={"threads": 1})
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+        got, want = [tuple(r) for r in df.collect()], con.sql(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()
+        assert sorted(map(str, got)) == sorted(map(str, want))
+        return want
+
+    yield check
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def cents(rng, n, most):
+    return [rng.randrange(most + 1) / 100 for _ in range(n)]
+
+
+def test_decoded_planes_add_rows_as_stored(in_pieces):
+    rng, n = random.Random(8), 12_000
+    keys = {"l_suppkey": [rng.randrange(60) for _ in range(n)], "l_linenumber": pa.array([rng.randrange(1, 8) for _ in range(n)], pa.int32())}
+    in_pieces("decoded_planes", "lineitem", keys | {"l_tax": cents(rng, n, 8)})
