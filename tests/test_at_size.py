@@ -158,3 +158,26 @@ def test_decoded_planes_add_rows_as_stored(in_pieces):
     rng, n = random.Random(8), 12_000
     keys = {"l_suppkey": [rng.randrange(60) for _ in range(n)], "l_linenumber": pa.array([rng.randrange(1, 8) for _ in range(n)], pa.int32())}
     in_pieces("decoded_planes", "lineitem", keys | {"l_tax": cents(rng, n, 8)})
+
+
+def test_region_identity_adds_rows_as_stored(in_pieces):
+    """Classes of equal sums, and such that are ahead by the least margin."""
+    rng, rows = random.Random(10), []
+    for region in range(150):
+        values = cents(rng, 30, 9999)
+        for kind in ("a", "b", "c")[: 2 + region % 2]:
+            rows += [(region, kind, v) for v in values]
+        if region % 3:
+            rows.append((region, "b", 50.0))
+    rng.shuffle(rows)
+    users, kinds, values = zip(*rows, strict=True)
+    want = in_pieces("region_identity", "events", {"user_id": users, "event_type": kinds, "value": values})
+    assert {r[3] for r in want} == {"low_margin", "accepted"} and {r[1] for r in want} >= {"a", "b"}
+
+
+def test_region_identity_of_odd_rows(in_pieces):
+    """Null classes are last among equal sums, and a total of zero has no shares."""
+    rows = [(1, None, 5.0), (1, "z", 5.0), (2, None, 9.0), (2, "a", 5.0), (3, "a", None), (3, "b", 1.0), (4, "a", None), (None, "a", 1.0), (None, "b", 99.0)]
+    rows += [(5, "a", 0.0), (5, "b", 0.0), (6, "a", -1.0), (6, "b", 1.0), (7, "a", float("nan")), (7, "b", 3.0)]
+    users, kinds, values = zip(*rows, strict=True)
+    in_pieces("region_identity", "events", {"user_id": users, "event_type": kinds, "value": values})
