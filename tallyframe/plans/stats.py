@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats as op
-from ..sources.encodings import matched, stored_sums, table
+from ..sources.encodings import matched, stored_means, stored_sums, table
 from ..storage import materialize
 from .registry import query
 
@@ -65,7 +65,11 @@ def profile_minimum_bins(spark, d):
 SELECT k, round(least((SELECT count(*) FROM x y WHERE y.ba <= x.ba), (SELECT count(*) FROM x y WHERE y.bb <= x.bb)) / (SELECT count(*) FROM x), 6) AS weakest FROM x""",
 )
 def weakest_rank(spark, d):
-    v = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg((F.avg("l_discount") * 10).alias("a"), (F.avg("l_tax") * 12).alias("b"))
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), "l_discount", "l_tax", "_metadata")
+    # Means that may be on either side of a bin's bound.
+    close = lambda factor: lambda m: F.abs(m * factor * 50 - F.rint(m * factor * 50)) < 1e-9
+    a, b = (stored_means(rows, ["k"], c, close(f)).select("k", (F.col("mean") * f).alias(n)) for n, c, f in (("a", "l_discount", 10), ("b", "l_tax", 12)))
+    v = materialize(a.alias("l").join(b.alias("r"), F.col("l.k").eqNullSafe(F.col("r.k"))).select("l.k", "a", "b"), "ranked")
     x = v.select("k", op.bin_of(F.col("a"), 50).alias("ba"), op.bin_of(F.col("b"), 50).alias("bb"))
     for c, n in (("a", "ba"), ("b", "bb")):
         cdf = op.cumulative(v, c, 50).select(F.col("bin").alias(n), F.col("cdf").alias(f"r{c}"))

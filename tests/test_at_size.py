@@ -160,6 +160,11 @@ def test_decoded_planes_add_rows_as_stored(in_pieces):
     in_pieces("decoded_planes", "lineitem", keys | {"l_tax": cents(rng, n, 8)})
 
 
+def test_weakest_rank_adds_rows_as_stored(in_pieces):
+    rng, n = random.Random(9), 12_000
+    in_pieces("weakest_rank", "lineitem", {"l_suppkey": [rng.randrange(200) for _ in range(n)], "l_discount": cents(rng, n, 10), "l_tax": cents(rng, n, 8)})
+
+
 def test_region_identity_adds_rows_as_stored(in_pieces):
     """Classes of equal sums, and such that are ahead by the least margin."""
     rng, rows = random.Random(10), []
