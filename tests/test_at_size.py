@@ -95,6 +95,13 @@ def test_neighbour_distance(spark, monkeypatch):
     assert got == want and 150 < len(want) < len({p[0] for p in points})
 
 
+def test_hilbert_order_steps_to_the_next_cell():
+    cells = np.array([(i, j, k) for i in range(8) for j in range(8) for k in range(8)], dtype=np.uint64)
+    keys = [row.tobytes() for row in spatial._hilbert(cells, 3)]
+    walk = cells[sorted(range(512), key=keys.__getitem__)].astype(int)
+    assert len(set(keys)) == 512 and (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
+
+
 def test_local_spacing_visits_near_leaves_only(spark, sf_dir):
     assert "/leaves" in plan(registry.load()["local_spacing"][0](spark, sf_dir))
 
