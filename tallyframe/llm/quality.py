@@ -117,13 +117,13 @@ NO_EVIDENCE = Model(np.zeros(SLOTS), 0.0, 0.0, 0.0)
 def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, c: float = 1.0, epochs: int = 30, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights of the scaled indicators and the bias that minimise the hinge loss with an L2 term."""
     rng = np.random.default_rng(seed)
-    values = [scale[r] for r in rows]
-    norms = np.array([float(v @ v) + 1.0 for v in values])
+    # Values are looked up again each time: the driver holds the rows' slots only.
+    norms = np.array([float(v @ v) + 1.0 for v in (scale[r] for r in rows)])
     alpha, w, bias = np.zeros(len(rows)), np.zeros(len(scale)), 0.0
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            r, v = rows[i], values[i]
+            r, v = rows[i], scale[rows[i]]
             gradient = y[i] * (float(w[r] @ v) + bias) - 1.0
             new = min(max(alpha[i] - gradient / norms[i], 0.0), c)
             if step := new - alpha[i]:
@@ -221,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     y = sample.column("label").to_numpy()
     if len(set(y.tolist())) < 2:
         return NO_EVIDENCE
-    sets = [np.frombuffer(s.as_buffer(), dtype=np.uint16).astype(np.int64) for s in sample.column("slots")]
+    sets = [np.frombuffer(s.as_buffer(), dtype=np.uint16) for s in sample.column("slots")]
     # Indicators are brought to unit length, so that long texts don't outweigh short ones.
     scale = ratio / max(1e-9, np.median([np.linalg.norm(ratio[s]) for s in sets if len(s)] or [1.0]))
     sign = np.where(y == 1, 1.0, -1.0)

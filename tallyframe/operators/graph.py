@@ -5,16 +5,22 @@ from the smaller side; the number of rounds grows with the logarithm of the
 number of nodes. A node with very many edges costs one partially aggregated
 minimum and one join, which adaptive execution can split. Every round is written
 to the shared folder, so no round is computed twice and lost executors cost one
-round at most.
+round at most. Once few edges are left, a task finishes them: rounds over small
+tables cost the driver a record for each of their many tasks.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
 
+#: Edges that one task holds and finishes, 16 bytes each.
+FEW = 1 << 18
+
 
 def _star(edges: DataFrame) -> DataFrame:
     """(u, v) with u > v for every edge, once."""
@@ -48,6 +54,25 @@ def _mark(e: DataFrame):
     )
 
 
+def _finished(batches):
+    """(node, root) for every node of all edges that come."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    u, v = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in (0, 1))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(i):
+        np.minimum.at(root, np.maximum(i, j), np.minimum(i, j))
+        while ((further := root[root]) != root).any():
+            root = further
+        i, j = root[i], root[j]
+        apart = i != j
+        i, j = i[apart], j[apart]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns u, v): root is the least node reachable.
 
@@ -55,8 +80,10 @@ def components(edges: DataFrame) -> DataFrame:
     an empty result; edges with a null end are ignored.
     """
     e = materialize(_star(edges.select("u", "v").dropna()), "edges")
-    mark = _mark(e)
+    kind, mark = dict(e.dtypes)["u"], _mark(e)
     while mark[0]:
+        if mark[0] <= FEW and kind in ("int", "bigint"):
+            return materialize(e.coalesce(1).mapInArrow(_finished, f"node {kind}, root {kind}"), "roots")
         e = materialize(_star(_small(_star(_large(e)))), "edges")
         if (now := _mark(e)) == mark:
             break

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import xxhash
@@ -123,3 +124,15 @@ def test_scores_equal_brute_force(spark):
     for i, text in enumerate(texts):
         margin = sum(w[k] for k in brute_features(text)) + b
         assert math.isclose(got[i], 1 / (1 + math.exp(-max(-30, min(30, model.slope * margin + model.offset)))), rel_tol=1e-9)
+
+
+def test_fitting_holds_slots_only():
+    """The driver's memory: two bytes a slot of the sample, which come with the rows, and no value beside it."""
+    rng = np.random.default_rng(4)
+    rows = [rng.choice(5000, 500, replace=False).astype(np.uint16) for _ in range(1000)]
+    y, scale = np.where(np.arange(1000) % 2, 1.0, -1.0), rng.normal(size=5000)
+    tracemalloc.start()
+    quality.dual_coordinate_descent(rows, y, scale, epochs=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < sum(r.nbytes for r in rows)

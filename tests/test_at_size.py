@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from tallyframe.operators import overlap, spatial
+from tallyframe.operators import graph, overlap, spatial
 from tallyframe.plans import registry
 from tallyframe.plans import spatial as plans
 
@@ -95,6 +95,25 @@ def test_neighbour_distance(spark, monkeypatch):
     assert got == want and 150 < len(want) < len({p[0] for p in points})
 
 
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    rng = random.Random(9)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(220)] + [(1000 + k * 7 % 60, 1000 + (k + 1) * 7 % 60) for k in range(59)]
+    edges += [(2000, k) for k in range(1950, 2050)] + [(None, 3), (4, None), (-5, -5), (-7, 2000)]
+    root = {x: x for e in edges for x in e if None not in e and e[0] != e[1]}
+    for _ in root:
+        for u, v in edges:
+            if u in root and v in root and u != v:
+                root[u] = root[v] = min(root[u], root[v])
+    written, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: written.append(name) or write(df, name))
+    for kind in ("long", "int"):
+        got = graph.components(spark.createDataFrame(edges, f"u {kind}, v {kind}"))
+        assert dict(got.collect()) == root and {t for _, t in got.dtypes} == {"bigint" if kind == "long" else kind}
+    assert written == ["edges", "roots"] * 2
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert dict(graph.components(spark.createDataFrame(edges, "u long, v long")).collect()) == root and len(written) > 8
+
+
 def test_hilbert_order_steps_to_the_next_cell():
     cells = np.array([(i, j, k) for i in range(8) for j in range(8) for k in range(8)], dtype=np.uint64)
     keys = [row.tobytes() for row in spatial._hilbert(cells, 3)]
