@@ -23,8 +23,10 @@ from .graph import components
 HALF = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
 #: The same for cells of which the second neighbours count, too.
 WIDE_HALF = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
-#: Pairs of a camera and a point for a task, and the number of tasks that may get a copy of the points.
-VIEW_PAIRS, VIEW_PARTS = 200_000_000, 64
+#: Pairs of a camera and a point for a task, and the pairs that take the time of a camera's own work.
+VIEW_PAIRS, VIEW_CAMERA = 200_000_000, 20_000
+#: Points that are sent to each executor once (25 MB); of more, so many parts of the cameras may get a copy through a shuffle.
+VIEW_POINTS, VIEW_PARTS = 1 << 20, 64
 #: Points of a leaf, within which all distances are taken.
 LEAF = 512
 AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
@@ -311,10 +313,12 @@ def projected(focal: float, width: float, height: float) -> tuple[Column, Column
 def view_statistics(points: DataFrame, cameras: DataFrame, focal: float, width: float, height: float, quantile: float | None = None) -> DataFrame:
     """(observer, front, inside, depth): the shares of points in front of its cameras and inside their images, and the quantile of the depths, if any.
 
-    Every camera meets every point, but no row is made for a pair: the points' coordinates go to each of at most
-    ``VIEW_PARTS`` parts of the cameras, and a task holds them (24 bytes a point) and takes its cameras one at a time.
+    Every camera meets every point, but no row is made for a pair: a task holds the points' coordinates (24 bytes a
+    point) and takes its cameras one at a time. Up to ``VIEW_POINTS`` points are broadcast, and nothing but the cameras
+    is shuffled; more go to each of at most ``VIEW_PARTS`` parts of the cameras.
     """
-    parts = max(1, min(VIEW_PARTS, math.ceil(points.count() * cameras.count() / VIEW_PAIRS)))
+    n_points = points.count()
+    parts = max(1, math.ceil((n_points + VIEW_CAMERA) * cameras.count() / VIEW_PAIRS))
 
     def run(mine: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
         # A point without x or z has no depth; it still counts among those that an image could show.
@@ -351,7 +355,18 @@ def view_statistics(points: DataFrame, cameras: DataFrame, focal: float, width:
         return out.astype({"front": float, "inside": float, "depth": float})
 
     posed = F.col("px").isNotNull() & F.col("pz").isNotNull() & F.col("yaw").isNotNull()
-    eyes = cameras.select(F.pmod(F.xxhash64("observer"), F.lit(parts)).alias("part"), "observer", "px", "py", "pz", "yaw", posed.alias("posed"))
-    places = points.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"), "x", "y", "z", (F.col("x").isNotNull() & F.col("z").isNotNull()).alias("placed"))
-    kind = dict(cameras.dtypes)["observer"]
-    return eyes.groupBy("part").cogroup(places.groupBy("part")).applyInPandas(run, f"observer {kind}, front double, inside double, depth double")
+    eyes = cameras.select("observer", "px", "py", "pz", "yaw", posed.alias("posed"))
+    places = points.select("x", "y", "z", (F.col("x").isNotNull() & F.col("z").isNotNull()).alias("placed"))
+    schema = f"observer {dict(cameras.dtypes)['observer']}, front double, inside double, depth double"
+    if n_points <= VIEW_POINTS:
+        sent = points.sparkSession.sparkContext.broadcast(places.toArrow().to_pandas())
+
+        def held(batches):
+            if mine := list(batches):
+                yield run(pd.concat(mine, ignore_index=True), sent.value)
+
+        return eyes.repartition(parts, "observer").mapInPandas(held, schema)
+    parts = min(VIEW_PARTS, parts)
+    eyes = eyes.withColumn("part", F.pmod(F.xxhash64("observer"), F.lit(parts)))
+    places = places.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    return eyes.groupBy("part").cogroup(places.groupBy("part")).applyInPandas(run, schema)

@@ -72,6 +72,20 @@ def test_projection_metrics_make_no_row_for_each_pair(spark, sf_dir):
     assert no_row_for_each_pair(registry.load()["projection_metrics"][0](spark, sf_dir))
 
 
+def test_points_are_copied_for_parts_of_the_cameras_beyond_a_bound_only(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "VIEW_PAIRS", 2000)
+    rng = random.Random(8)
+    points = [(k, *(rng.uniform(-3, 3) for _ in "xyz")) for k in range(150)] + [(150, None, 0.0, 1.0), (151, 0.5, None, 1.0), (152, math.nan, 0.0, 0.0)]
+    cameras = [(k % 25, *(rng.uniform(-4, 4) for _ in range(3)), rng.uniform(0, 7)) for k in range(30)] + [(40, None, 0.0, 0.0, 0.0), (41, 0.0, 0.0, 0.0, math.inf)]
+    p, c = spark.createDataFrame(points, POINTS), spark.createDataFrame(cameras, "observer long, px double, py double, pz double, yaw double")
+    seen = lambda p, c: spatial.view_statistics(p, c, 200.0, 640.0, 480.0, 0.25)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert "CoGroup" not in plan(seen(p, c)) and not rows(seen(p.limit(0), c)) and not rows(seen(p, c.limit(0)))
+    few = rows(seen(p, c))
+    monkeypatch.setattr(spatial, "VIEW_POINTS", 100)
+    assert "CoGroup" in plan(seen(p, c)) and rows(seen(p, c)) == few and len(few) == 27
+
+
 def test_neighbour_distance(spark, monkeypatch):
     monkeypatch.setattr(spatial, "LEAF", 16)
     rng = random.Random(6)
